@@ -71,7 +71,7 @@ def oracles() -> dict[str, str]:
 
 
 FLAGSHIP = """
-SELECT c_custkey, c_mktsegment, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, COUNT(DISTINCT o_orderkey) AS n_orders
+SELECT c_custkey, c_mktsegment, CAST(SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue, COUNT(DISTINCT o_orderkey) AS n_orders
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
 WHERE c_acctbal > 0 GROUP BY c_custkey, c_mktsegment HAVING COUNT(DISTINCT o_orderkey) >= 2
 ORDER BY revenue DESC, c_custkey LIMIT 100"""
