@@ -46,7 +46,7 @@ _SUBSTITUTE = str.maketrans(SUBSTITUTES)
 def _plain(m: re.Match) -> str:
     word = m[0].rstrip("!").lstrip("$")
     letters = sum(c.isalpha() for c in word)
-    return word.translate(_SUBSTITUTE) if letters * 2 >= len(word) and letters else word.translate(_BARE)
+    return word.translate(_SUBSTITUTE) if letters > 1 or 2 * letters >= len(word) > 0 else word.translate(_BARE)
 
 
 def fold(text: str | None) -> str:
