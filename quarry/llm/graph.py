@@ -9,7 +9,8 @@ from .common import saved
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """``edges(a long, b long)`` to (node, component): the smallest node that each reaches.
+    """``edges(a long, b long)`` to (node, component) of every node but the smallest
+    of its component: the smallest node that it reaches.
 
     Null ends and loops are ignored.  Minima are pre-aggregated where they are read, and joins
     read written tables only, so Spark can split a node of very many edges."""
