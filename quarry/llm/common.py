@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session leaves spark.checkpoint.dir unset, as local tests do.
 DEFAULT_SHARED = "file:///tmp/checkpoints/quarry"
@@ -134,3 +135,56 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
         out = (out ^ words[k : k + n]) * np.uint64(0x9DDFEA08EB382D69)
         out ^= out >> np.uint64(29)
     return np.unique(mix(out))
+
+
+#: Bits of an id filter at most: 16 MB on the driver and in each worker, whatever the number of ids.
+FILTER_BITS = 1 << 27
+
+
+def _filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Four places of every id."""
+    seeds = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+    return (mix(ids.astype(np.int64).view(np.uint64)[:, None] ^ seeds) % np.uint64(bits)).astype(np.int64)
+
+
+class IdFilter:
+    """A Bloom filter of ids: it may let others pass, never keeps one of its own back."""
+
+    def __init__(self, bits: int, words: dict[int, bytes], spark: SparkSession):
+        data = np.zeros(bits // 8, np.uint8)
+        for bucket, part in words.items():
+            data[bucket * 4096 : bucket * 4096 + 4096] = np.frombuffer(part, np.uint8)[: len(data) - bucket * 4096]
+        self.bits, self.data = bits, spark.sparkContext.broadcast(data)
+
+    def has(self, ids: pa.Array) -> np.ndarray:
+        """Whether each id may be held; null ids aren't."""
+        known = np.array(ids.is_valid(), bool)
+        place = _filter_places(ids.fill_null(0).to_numpy(zero_copy_only=False), self.bits)
+        data = self.data.value
+        return known & ((data[place >> 3] >> (place & 7).astype(np.uint8)) & 1).all(1).astype(bool)
+
+
+def id_filter(df: DataFrame, column: str) -> IdFilter:
+    """The filter of a column's ids: bits are set where the ids are, then joined by Spark's bitmap
+    aggregate, one 4 kB row for each 32,768 bits."""
+    n = df.count()
+    bits = min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
+
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        place = _filter_places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits)
+        return pa.RecordBatch.from_arrays([pa.array(place.ravel())], names=["place"])
+
+    spread = per_batch(df.select(F.col(column).cast("long")), places, "place long")
+    rows = spread.groupBy(F.floor(F.col("place") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(32768))).alias("bitmap")).collect()
+    return IdFilter(bits, {int(r["bucket"]): bytes(r["bitmap"]) for r in rows}, df.sparkSession)
+
+
+def held_only(df: DataFrame, held: IdFilter, column: str, inside: bool = True) -> DataFrame:
+    """The rows whose id may be in the filter, or those whose id isn't."""
+    place = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held.has(batch.column(place)) == inside))
+
+    return df.mapInArrow(run, df.schema)

@@ -96,9 +96,9 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: fl
     """All (doc_id, item_id) with at least ``threshold`` of the item's shingles in the document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     items = items.select(F.col("item_id").cast("long"), "text")
-    if (items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0) > resident_bytes:
+    own = _resident(items, resident_bytes)
+    if own is None:
         return _by_shuffle(docs, items, size, threshold)
-    own = [(r["item_id"], r["text"].encode() if r["text"] is not None else None) for r in items.collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = Sketches(own, size, threshold)
@@ -108,6 +108,30 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: fl
     return docs.mapInArrow(run, FOUND)
 
 
+def _resident(items: DataFrame, most: int) -> list[tuple[int | None, bytes | None]] | None:
+    """The items, if their size lets them travel with the tasks."""
+    if (items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0) > most:
+        return None
+    return [(r["item_id"], r["text"].encode() if r["text"] is not None else None) for r in items.collect()]
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, resident_bytes: int = RESIDENT_BYTES) -> DataFrame:
+    """The rows, all columns kept, that contain no item."""
+    items = items.select(F.col("item_id").cast("long"), "text")
+    own = _resident(items, resident_bytes)
+    if own is None:
+        marked = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-marked")
+        found = _by_shuffle(marked.select(F.col("_row").alias("doc_id"), "text"), items, size, threshold)
+        return marked.join(found.select(F.col("doc_id").alias("_gone")).distinct(), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches = Sketches(own, size, threshold)
+        for batch in batches:
+            yield batch.filter(pa.array([not sketches.verified(t) for t in utf8(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _by_shuffle(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
     """The same for a benchmark of any size: sketch hashes meet in a join.  Rows get numbers of
     their own here, so repeated ids stay apart; both tables are written once for that."""

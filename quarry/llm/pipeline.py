@@ -5,32 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
-from .decontam import contaminated
+from .common import held_only, id_filter, saved
+from .decontam import clean_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .queries import TOKENIZER, table
 from .suffixdedup import suffix_dedup
-from .toxicity import held_out, learn_lexicon, score_documents
+from .toxicity import accepted, held_out, learn_lexicon
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id isn't in ``gone``; documents without an id stay."""
-    return docs.select(*COLUMNS).join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the lexicon rejects; it is learned from the labelled ones not held out."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long"), "toxic").filter(~held_out())
-    lexicon = learn_lexicon(docs, labels)
-    return _without(docs, saved(score_documents(docs, lexicon).filter("score >= 0.5"), "toxic"))
+    return accepted(docs.select(*COLUMNS), learn_lexicon(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    return _without(docs, saved(near_duplicates(docs).filter("not kept"), "near-duplicates"))
+    gone = saved(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")), "near-duplicates")
+    # Only documents that may have to go are shuffled.
+    docs, held = docs.select(*COLUMNS), id_filter(gone, "_gone")
+    unsure = held_only(docs, held, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return held_only(docs, held, "doc_id", False).unionByName(unsure)
 
 
 def suffix_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +41,7 @@ def suffix_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that contain a benchmark item."""
-    return _without(docs, saved(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "contaminated"))
+    return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,6 +185,27 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = Non
     return lexicon
 
 
+def text_score(text: str | None, lexicon: Lexicon, automaton) -> tuple[float, int, float]:
+    """Score, matches, and their weight."""
+    folded = fold(text)
+    found = matches(folded, automaton)
+    total = sum(found.values())
+    b0, b1, b2 = lexicon.logit
+    x1, x2 = inputs(total, len(folded.split()))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + b1 * x1 + b2 * x2)))), len(found), total
+
+
+def accepted(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
+    """The rows, all columns kept, whose text scores below the limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            yield batch.filter(pa.array([text_score(t, lexicon, automaton)[0] < limit for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 SCORED = "score double, n_matches long, weight double"
 
 
@@ -193,18 +214,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        b0, b1, b2 = lexicon.logit
         for batch in batches:
-            scores, counts, sums = [], [], []
-            for text in batch.column("text").to_pylist():
-                folded = fold(text)
-                found = matches(folded, automaton)
-                total = sum(found.values())
-                x1, x2 = inputs(total, len(folded.split()))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + b1 * x1 + b2 * x2)))))
-                counts.append(len(found))
-                sums.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "score", "n_matches", "weight"])
+            rows = list(zip(*(text_score(t, lexicon, automaton) for t in batch.column("text").to_pylist()), strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, (pa.float64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "score", "n_matches", "weight"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, f"doc_id long, {SCORED}")
 

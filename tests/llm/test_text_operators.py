@@ -279,5 +279,8 @@ def test_decontamination_edges(spark, resident):
     got = sorted((tuple(r) for r in decontam.contaminated(df, bench, resident_bytes=resident).collect()), key=str)
     want = sorted((x for d in docs for i in items for x in slow_contaminated([d], [i])), key=str)
     assert got == want
+    clean = decontam.clean_documents(df, bench, resident_bytes=resident)
+    left = [d for d in docs if not any(slow_contaminated([d], [i]) for i in items)]
+    assert clean.columns == df.columns and sorted((tuple(r)[:2] for r in clean.collect()), key=str) == sorted(left, key=str)
     assert decontam.contaminated(empty_like(df), bench, resident_bytes=resident).count() == 0
     assert decontam.contaminated(df, empty_like(bench), resident_bytes=resident).count() == 0
