@@ -10,7 +10,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -55,12 +55,6 @@ def text_of(df: DataFrame, column: str | None = None) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(joined), _SPLIT, " ")), F.lit(" "))
 
 
-def postings(df: DataFrame, key: str) -> DataFrame:
-    """(term, key, tf) of every row."""
-    terms = df.select(F.col(key), F.explode(F.split(F.trim(text_of(df.drop(key))), " ")).alias("term"))
-    return terms.filter("term <> ''").groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-
-
 def search(df: DataFrame, query: str, top: int | None = TOP) -> DataFrame:
     """Rows that match, with ``_score``, best first; ties in the order of the rows' texts.
 
@@ -93,3 +87,59 @@ def search(df: DataFrame, query: str, top: int | None = TOP) -> DataFrame:
     out = texts.filter(keep).withColumn("_score", score).orderBy(F.desc("_score"), "_text_", *[F.col(f"`{c}`").cast("string") for c in df.columns])
     out = out if top is None else out.limit(top)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "_score")
+
+
+#: Folders of an index's postings; a query opens those of its own terms.
+BUCKETS = 64
+
+
+class SearchIndex:
+    """Postings and lengths of a table, written once; a query reads its own terms' postings only.
+
+    Phrases are checked on the rows that their words leave."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.rows, self.postings, self.lengths = (spark.read.parquet(f"{path}/{n}") for n in ("rows", "postings", "lengths"))
+        self.figures = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
+
+    @staticmethod
+    def build(df: DataFrame, path: str) -> SearchIndex:
+        spark = df.sparkSession
+        df.withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
+        fields = F.array(*[F.struct(F.lit(c).alias("field"), F.split(F.trim(text_of(df, c)), " ").alias("terms")) for c in df.columns])
+        terms = rows.select("_row", F.explode(fields).alias("f")).select("_row", "f.field", F.explode("f.terms").alias("term")).filter("term <> ''")
+        # Terms of a row are counted where the row is read: a very common word needs no group of its own.
+        counted = terms.groupBy("_row", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        rows.select("_row", F.size(F.split(F.trim(text_of(df)), " ")).alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+        return SearchIndex(spark, path)
+
+    def search(self, query: str, top: int | None = TOP) -> DataFrame:
+        q = parse_query(query)
+        terms = list(dict.fromkeys(q.should + q.must))
+        asked = terms + q.never
+        words = sorted({w for _, w in asked})
+        spark = self.rows.sparkSession
+        wanted = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).collect()] if words else []
+        own = self.postings.filter(F.col("bucket").isin(*wanted or [-1]) & F.col("term").isin(*words or [""]))
+        held = lambda c, w: F.sum(F.when((F.col("term") == w) & (F.lit(True) if c is None else F.col("field") == c), F.col("tf")).otherwise(0))
+        found = own.groupBy("_row").agg(*[held(c, w).alias(f"_tf{i}") for i, (c, w) in enumerate(asked)]) if asked else own.select("_row").limit(0)
+        scored = found.join(self.lengths, "_row")
+        seen = found.agg(*[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))]).first() if asked else None
+        n, average, score = self.figures["n"], self.figures["avg"] or 1.0, F.lit(0.0)
+        for i in range(len(terms)):
+            df = seen[f"df{i}"] or 0
+            tf = F.col(f"_tf{i}")
+            score = score + F.lit(math.log(1 + (n - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / average))
+        keep = score > 0
+        for i, term in enumerate(asked):
+            keep = keep & (F.col(f"_tf{i}") > 0) if term in q.must else keep & (F.col(f"_tf{i}") == 0) if i >= len(terms) else keep
+        out = scored.filter(keep).select("_row", score.alias("_score")).join(self.rows, "_row")
+        for c, phrase, good in q.phrases:
+            text = text_of(self.rows.drop("_row"), c)
+            has = F.contains(text, F.lit(" " + " ".join(phrase) + " "))
+            out = out.filter(has if good else ~has)
+        names = [c for c in self.rows.columns if c != "_row"]
+        out = out.orderBy(F.desc("_score"), text_of(self.rows.drop("_row")), *[F.col(f"`{c}`").cast("string") for c in names])
+        return (out if top is None else out.limit(top)).select(*[F.col(f"`{c}`") for c in names], "_score")

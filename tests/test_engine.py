@@ -239,6 +239,12 @@ def test_json_form_writes(e):
     assert sorted(rows(e.ir({"Select": recursive}))) == [(1,), (2,), (3,), (4,), (5,)]
 
 
+def test_responses(e):
+    assert e.respond("CREATE TABLE r (id INT)")["success"] and e.respond("INSERT INTO r VALUES (1), (2)")["rows_affected"] == 2
+    assert e.respond("SELECT id FROM r WHERE id > 1") == {"success": True, "columns": ["id"], "data": [[2]], "rows_affected": 0, "error": None}
+    assert not e.respond("SELECT nothing FROM r")["success"] and not e.respond("")["success"]
+
+
 def test_create_statement_reads_back(e, spark):
     e.sql("CREATE TABLE c (id BIGINT UNSIGNED NOT NULL, kind ENUM('a', 'b') DEFAULT 'a', price DECIMAL(10, 2), body JSON, PRIMARY KEY (id))")
     other = Engine(spark)

@@ -7,7 +7,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from quarry.operators.kv import Channels, KeyValue
-from quarry.operators.search import parse_query, search
+from quarry.operators.search import SearchIndex, parse_query, search
 from quarry.session import Engine
 from quarry.sources.catalog import Catalog
 from quarry.sources.storage import read_table, write_table
@@ -86,6 +86,14 @@ def test_search(spark):
     assert e.sql("SEARCH d 'lazy'").columns[-1] == "_score"
 
 
+def test_search_index_is_the_scan(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    index = SearchIndex.build(docs, f"file://{tmp_path}/index")
+    for q in ("license worthless", "+license -apache", "source:src1 license", '"mit license"', '+released -"mit license"', "nowhere"):
+        scan, own = ([(r["doc_id"], round(r["_score"], 6)) for r in x.collect()] for x in (search(docs, q), index.search(q)))
+        assert scan == own, q
+
+
 @pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
 def test_sources(spark, tmp_path, kind):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
