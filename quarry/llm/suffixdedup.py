@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, release, saved, span_hash, utf8
+from .common import held_only, id_filter, mix, prefix_hash, release, saved, span_hash, utf8
 from .suffixsort import SuffixOrder
 
 GRAM = 32
@@ -283,7 +283,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     common = saved(wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY_RUNS).select("anchor"), "suffix-common")
     marked = wanted.join(common.withColumn("common", F.lit(True)), "anchor", "left")
     by_doc = marked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "second", F.coalesce("common", F.lit(False)).alias("common"))).alias("wanted"))
-    contexts = docs.join(by_doc, "doc").select("doc", "text", "wanted").mapInArrow(lambda b: _contexts(b, length), CONTEXTS)
+    by_doc = saved(by_doc, "suffix-wanted")
+    asked = held_only(docs.select("doc", "text"), id_filter(by_doc, "doc"), "doc")
+    contexts = asked.join(by_doc, "doc").select("doc", "text", "wanted").mapInArrow(lambda b: _contexts(b, length), CONTEXTS)
     sorted_ = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _sorted_windows(b, length), EVENTS)
     span = ["doc", F.col("first").alias("start"), (F.col("first") + F.col("second")).alias("end")]
     return met.filter("kind = 0").select(*span).union(sorted_.filter("kind = 0").select(*span))
@@ -331,8 +333,13 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep: list[str] | None = No
     keep = keep or []
     docs = numbered(docs.select(F.col("doc_id").cast("long"), "text", *keep)).filter("doc is not null")
     spans = repeated_spans(docs.select("doc", "text"), length)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = docs.join(by_doc, "doc", "left").select("doc_id", *keep, "text", "spans")
+    by_doc = saved(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    # Only texts that lose something are shuffled to their spans; the filter's false alarms find none.
+    held = id_filter(by_doc, "doc")
+    docs = docs.select("doc", "doc_id", *keep, "text")
+    hit = held_only(docs, held, "doc").join(by_doc, "doc", "left").drop("doc")
+    whole = held_only(docs, held, "doc", False).drop("doc").withColumn("spans", F.lit(None).cast(by_doc.schema["spans"].dataType))
+    both = hit.unionByName(whole).select("doc_id", *keep, "text", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in ("text", "spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
