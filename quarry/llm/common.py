@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def _importable() -> None:
+    """Let Python workers that start on this host import the library from where the driver did."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for place in (os.environ, *([c.environment] if (c := SparkContext._active_spark_context) else [])):
+        held = place.get("PYTHONPATH", "")
+        if root not in held.split(os.pathsep):
+            place["PYTHONPATH"] = os.pathsep.join(filter(None, (root, held)))
+
+
+_importable()
+
 #: Used only where the session leaves spark.checkpoint.dir unset, as local tests do.
 DEFAULT_SHARED = "file:///tmp/checkpoints/quarry"
 
