@@ -125,12 +125,10 @@ def insert(catalog: Catalog, table: Table, rows: DataFrame, given: list[str] | N
     mode: plain (a repeated key is an error), ignore (such rows are left out), replace (they take
     the old rows' place).  ``update``: for repeated keys, the old row's columns by SQL over the old
     row, ``VALUES(c)`` written ``new.c``."""
-    from ..sources.storage import stored
-
-    fresh, _ = stored(conform(table, rows, given or [c.name for c in table.columns]), f"{table.name}-batch", catalog.root)
+    fresh, _ = catalog.store(conform(table, rows, given or [c.name for c in table.columns]), f"{table.name}-batch")
     fresh, counter = fill_counters(table, fresh)
     if any(c.auto for c in table.columns):
-        fresh, _ = stored(fresh, f"{table.name}-batch", catalog.root)
+        fresh, _ = catalog.store(fresh, f"{table.name}-batch")
     check_values(table, fresh)
     old = table.rows
     keyed = bool(unique_keys(table))
@@ -149,14 +147,14 @@ def insert(catalog: Catalog, table: Table, rows: DataFrame, given: list[str] | N
             fresh = matches_any_key(table, fresh, old, "left_anti")
         else:
             old = matches_any_key(table, old, fresh, "left_anti")
-        fresh, _ = stored(fresh, f"{table.name}-batch", catalog.root)
+        fresh, _ = catalog.store(fresh, f"{table.name}-batch")
     elif keyed and update:
         check_unique(table, fresh, None)
-        meets, _ = stored(matches_any_key(table, fresh, old, "left_semi"), f"{table.name}-batch", catalog.root)
+        meets, _ = catalog.store(matches_any_key(table, fresh, old, "left_semi"), f"{table.name}-batch")
         changed = meets.count()
         if changed:
             old = _updated_by_key(table, old, meets, update)
-            fresh, _ = stored(matches_any_key(table, fresh, meets, "left_anti"), f"{table.name}-batch", catalog.root)
+            fresh, _ = catalog.store(matches_any_key(table, fresh, meets, "left_anti"), f"{table.name}-batch")
             check_values(table, old)
             check_unique(table, old.unionByName(fresh), None)
             check_foreign(catalog, table, old)

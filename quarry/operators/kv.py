@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
-from ..sources.storage import stored
 
 SCHEMAS = {
     "kv_strings": "key string, value string, expiry long",
@@ -59,7 +58,7 @@ class KeyValue:
         return rows.filter(F.col("expiry").isNull() | (F.col("expiry") > self.clock())) if name == "kv_strings" else rows
 
     def _put(self, name: str, rows: DataFrame) -> None:
-        self.catalog.state.stores[name] = stored(rows, name, self.catalog.root)[0]
+        self.catalog.state.stores[name] = self.catalog.store(rows, name)[0]
 
     def load(self, name: str, rows: DataFrame) -> None:
         """Take a whole structure from a DataFrame of its columns."""

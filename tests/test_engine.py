@@ -1,5 +1,7 @@
 """Statements of the dialect: definitions, writes, constraints, transactions, access, dumps."""
 
+from dataclasses import replace
+
 import pytest
 
 from quarry.operators.dml import ConstraintError
@@ -19,7 +21,7 @@ def rows(df):
 
 
 def test_goldens(e):
-    """The reference's own last statements, with what they print."""
+    """Small scripts, with what their last statements print."""
     e.execute_batch("""
         CREATE TABLE users (id INT PRIMARY KEY, name TEXT, score INT);
         INSERT INTO users VALUES (1, 'alice', 100); INSERT INTO users VALUES (2, 'bob', 85); INSERT INTO users VALUES (3, 'charlie', 95);
@@ -51,7 +53,6 @@ def test_constraints(e):
             e.sql(bad)
     assert e.sql("SELECT * FROM users").count() == 2
     with pytest.raises(CatalogError):
-        e.sql("SELECT * FROM users").count()
         e.sql("DROP TABLE nobody")
 
 
@@ -79,8 +80,7 @@ def test_alter(e):
     e.execute_batch("CREATE TABLE a (id INT, name TEXT); INSERT INTO a VALUES (1, 'x'); ALTER TABLE a ADD COLUMN age INT; UPDATE a SET age = 30; ALTER TABLE a RENAME COLUMN name TO label; ALTER TABLE a ALTER COLUMN label SET DEFAULT 'd'; INSERT INTO a (id) VALUES (2); ALTER TABLE a ADD PRIMARY KEY (id); ALTER TABLE a DROP COLUMN age; ALTER TABLE a MODIFY COLUMN id BIGINT; ALTER TABLE a ENGINE = x; ALTER TABLE a RENAME TO b")
     assert rows(e.sql("SELECT * FROM b ORDER BY id")) == [(1, "x"), (2, "d")]
     assert dict(e.sql("SELECT * FROM b").dtypes)["id"] == "bigint"
-    with pytest.raises(Exception, match="a"):
-        e.sql("SELECT * FROM a")
+    with pytest.raises(CatalogError):
         e.catalog.table("a")
     with pytest.raises(ConstraintError):
         e.sql("INSERT INTO b VALUES (1, 'y')")
@@ -93,16 +93,9 @@ def test_transactions(e):
     assert e.catalog.committed.tables["t"].rows.count() == 0
     e.sql("COMMIT")
     assert rows(e.sql("SELECT id FROM t ORDER BY id")) == [(1,), (3,)]
-    # Two transactions that change one table: the second to commit fails.
-    from quarry.sources.catalog import Catalog
-
-    other = object.__new__(Catalog)
-    other.__dict__ = dict(e.catalog.__dict__)
+    # The table changes while a transaction has changed it too: its commit fails.
     e.sql("BEGIN")
     e.sql("INSERT INTO t VALUES (4)")
-    e.catalog.committed = e.catalog.committed.copied()
-    from dataclasses import replace
-
     t = e.catalog.committed.tables["t"]
     e.catalog.committed.tables["t"] = replace(t, version=t.version + 1)
     with pytest.raises(CatalogError):
@@ -121,8 +114,8 @@ def test_views(e):
     e.sql("DELETE FROM t WHERE id = 3")
     assert rows(e.sql("SELECT * FROM m")) == [(2, 30)]
     e.sql("DROP VIEW big")
+    e.sql("CREATE VIEW grouped AS SELECT v FROM t GROUP BY v")
     with pytest.raises(SqlError):
-        e.sql("CREATE VIEW grouped AS SELECT v FROM t GROUP BY v")
         e.sql("INSERT INTO grouped VALUES (1)")
 
 
@@ -239,6 +232,14 @@ def test_json_form_writes(e):
     assert sorted(rows(e.ir({"Select": recursive}))) == [(1,), (2,), (3,), (4,), (5,)]
 
 
+def test_vacuum(e):
+    e.execute_batch("CREATE TABLE v (id INT); INSERT INTO v VALUES (1); INSERT INTO v VALUES (2)")
+    e.kv.set("a", "1")
+    e.kv.set("a", "2")
+    assert e.vacuum() > 0
+    assert e.sql("SELECT * FROM v").count() == 2 and e.kv.get("a") == "2" and e.vacuum() == 0
+
+
 def test_responses(e):
     assert e.respond("CREATE TABLE r (id INT)")["success"] and e.respond("INSERT INTO r VALUES (1), (2)")["rows_affected"] == 2
     assert e.respond("SELECT id FROM r WHERE id > 1") == {"success": True, "columns": ["id"], "data": [[2]], "rows_affected": 0, "error": None}
