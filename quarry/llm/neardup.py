@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, saved, shingle_hashes, utf8, word_hashes
+from .common import IdFilter, id_filter, mix, saved, shingle_hashes, utf8, word_hashes
 from .graph import components
 
 #: Two texts of similarity 0.8 share no band with a probability of (1 - 0.8**5)**32 = 3e-6.
@@ -171,9 +171,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80, miss: float
     own = F.coalesce(F.col("blocks"), F.lit(1))
     placed = stars.join(large, "hub", "left").withColumn("own", F.pmod(F.xxhash64("rep"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), own - 1)))
     placed = placed.select("hub", "rep", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    # The sets of all that share a bucket, made once more from their texts.
+    # The sets of all that share a bucket, made once more from their texts.  A filter of bounded
+    # size leaves most other texts out before anything is shuffled; the join is exact.
     wanted = stars.select("rep").distinct()
-    near = saved(_sets(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi"), size), "neardup-sets")
+    near = saved(_sets(docs, size, id_filter(wanted, "rep")).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"), "neardup-sets")
     grouped = placed.join(near, placed.rep == near.doc_id).select("hub", "p", "q", "own", "rep", "sig", "set")
     grouped = grouped.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "rep")
     edges = grouped.mapInArrow(lambda batches: _verify(batches, Groups(limit, miss)), "a long, b long")
@@ -184,9 +185,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80, miss: float
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, held: IdFilter) -> DataFrame:
+    """doc_id, signature and set of the documents that may be in ``held``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(held.has(batch.column("doc_id"))))
             own = [shingle_hashes(word_hashes(t or b""), size) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "sig", "set"])
 
