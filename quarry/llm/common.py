@@ -6,6 +6,7 @@ import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,38 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of an Arrow batch at most: a Python worker holds a batch or two, whatever its texts' length.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(operator: Callable) -> Callable:
+    """Have the session hand this operator's Python workers batches of ``BATCH_ROWS`` at most.  The
+    setting stays, since plans run after the operator has returned."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+            conf.set(name, str(BATCH_ROWS))
+        return operator(df, *args, **kwargs)
+
+    return run
+
+
+_kept: list[Callable[[], None]] = []
+
+
+def keep_until_other_work(clear: Callable[[], None]) -> None:
+    """Register what a worker keeps between tasks of one kind."""
+    _kept.append(clear)
+
+
+def other_work() -> None:
+    """Begin a task of another kind: what was kept goes, so workers that are reused stay small."""
+    for clear in _kept:
+        clear()
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to every Arrow batch."""
 
@@ -199,6 +232,7 @@ def held_only(df: DataFrame, held: IdFilter, column: str, inside: bool = True) -
     place = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         for batch in batches:
             yield batch.filter(pa.array(held.has(batch.column(place)) == inside))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shingle_hashes, utf8, word_hashes
+from .common import bounded_batches, other_work, saved, shingle_hashes, utf8, word_hashes
 
 #: Bytes of benchmark text up to which items travel with the tasks; beyond it, shuffle joins.
 RESIDENT_BYTES = 16 << 20
@@ -92,6 +92,7 @@ def _rows(ids: list, found: list[list[tuple]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*flat, strict=True) if flat else [[]] * 4)], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
+@bounded_batches
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, resident_bytes: int = RESIDENT_BYTES) -> DataFrame:
     """All (doc_id, item_id) with at least ``threshold`` of the item's shingles in the document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -101,6 +102,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: fl
         return _by_shuffle(docs, items, size, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         sketches = Sketches(own, size, threshold)
         for batch in batches:
             yield _rows(batch.column("doc_id").to_pylist(), [sketches.verified(t) for t in utf8(batch.column("text"))])
@@ -115,6 +117,7 @@ def _resident(items: DataFrame, most: int) -> list[tuple[int | None, bytes | Non
     return [(r["item_id"], r["text"].encode() if r["text"] is not None else None) for r in items.collect()]
 
 
+@bounded_batches
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, resident_bytes: int = RESIDENT_BYTES) -> DataFrame:
     """The rows, all columns kept, that contain no item."""
     items = items.select(F.col("item_id").cast("long"), "text")
@@ -125,6 +128,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
         return marked.join(found.select(F.col("doc_id").alias("_gone")).distinct(), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         sketches = Sketches(own, size, threshold)
         for batch in batches:
             yield batch.filter(pa.array([not sketches.verified(t) for t in utf8(batch.column("text"))], pa.bool_()))

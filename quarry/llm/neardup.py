@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, id_filter, mix, saved, shingle_hashes, utf8, word_hashes
+from .common import IdFilter, bounded_batches, id_filter, mix, other_work, saved, shingle_hashes, utf8, word_hashes
 from .graph import components
 
 #: Two texts of similarity 0.8 share no band with a probability of (1 - 0.8**5)**32 = 3e-6.
@@ -137,6 +137,7 @@ def shingle_features(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, and of texts with words: a digest of the set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         for batch in batches:
             counts, digests, sigs = [], [], []
             for text in utf8(batch.column("text")):
@@ -149,6 +150,7 @@ def shingle_features(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
+@bounded_batches
 def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80, miss: float = 1e-8) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, n_shingles, component_id, kept: components of the links
     with 100 * intersection >= ``limit`` * union."""
@@ -189,6 +191,7 @@ def _sets(docs: DataFrame, size: int, held: IdFilter) -> DataFrame:
     """doc_id, signature and set of the documents that may be in ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         for batch in batches:
             batch = batch.filter(pa.array(held.has(batch.column("doc_id"))))
             own = [shingle_hashes(word_hashes(t or b""), size) for t in utf8(batch.column("text"))]

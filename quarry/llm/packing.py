@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bounded_batches, utf8
 from .tokens import encoder
 
 #: Examples and ids that a task packs together.
@@ -114,6 +114,7 @@ def even_lengths(bin_: list[tuple[int, int, int]], max_tokens: int) -> list[list
     return out
 
 
+@bounded_batches
 def pack_examples(examples: DataFrame, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048) -> DataFrame:
     """Place whole instruction examples ``(example_id long, n_tokens long, n_loss long)``:
     returns example_id, sequence_id, offset.  Examples larger than a sequence are an error;
@@ -146,6 +147,7 @@ def pack_examples(examples: DataFrame, max_tokens: int = 2048, max_segments: int
     return examples.select(*[F.col(c).cast("long") for c in ("example_id", "n_tokens", "n_loss")]).mapInArrow(run, "example_id long, sequence_id long, offset long")
 
 
+@bounded_batches
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256) -> DataFrame:
     """Encode and pack whole documents, every id loss-bearing.  Full pieces of long documents are
     sequences of their own; what remains of each is packed."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_only, id_filter, mix, prefix_hash, release, saved, span_hash, utf8
+from .common import bounded_batches, held_only, id_filter, mix, other_work, prefix_hash, release, saved, span_hash, utf8
 from .suffixsort import SuffixOrder
 
 GRAM = 32
@@ -114,6 +114,7 @@ def _spans(doc, start, end) -> pa.RecordBatch:
 
 def _read_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Events of texts: runs folded within some megabytes, and spans of the folded ones."""
+    other_work()
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -191,9 +192,16 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
+    other_work()
+    seen: dict[bytes, tuple[int, int]] = {}
+
+    def folded() -> list[tuple]:
+        rows = [(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), 1, doc, i, window) for window, (doc, i) in seen.items()]
+        seen.clear()
+        return rows
+
     for batch in batches:
         rows: list[tuple] = []
-        seen: dict[bytes, tuple[int, int]] = {}
         for doc, text, wanted in zip(batch.column("doc").to_pylist(), utf8(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
             for w in wanted:
                 first, count = w["first"], w["second"]
@@ -206,10 +214,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                     if other != (doc, i):  # folded here: the later of the two goes, as a row without bytes
                         seen[window], later = min(other, (doc, i)), max(other, (doc, i))
                         rows.append((later[0] ^ later[1] << 40, 1, *later, None))
-        for window, (doc, i) in seen.items():
-            key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-            rows.append((key, 1, doc, i, window))
         yield out(rows)
+        if len(seen) > 100_000:
+            yield out(folded())
+    yield out(folded())
 
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -271,6 +279,7 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
     yield from flush()
 
 
+@bounded_batches
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs(doc, text)``, with distinct numbers ``doc``, to spans (doc, start, end), which may overlap."""
     if length < GRAM:
@@ -328,6 +337,7 @@ def kept_bytes(text: bytes, spans: list) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, count
 
 
+@bounded_batches
 def suffix_dedup(docs: DataFrame, length: int = 100, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the columns ``keep``, n_bytes, n_removed, n_spans, and ``kept`` (the bytes left)."""
     keep = keep or []
@@ -337,22 +347,26 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep: list[str] | None = No
     # Only texts that lose something are shuffled to their spans; the filter's false alarms find none.
     held = id_filter(by_doc, "doc")
     docs = docs.select("doc", "doc_id", *keep, "text")
-    hit = held_only(docs, held, "doc").join(by_doc, "doc", "left").drop("doc")
-    whole = held_only(docs, held, "doc", False).drop("doc").withColumn("spans", F.lit(None).cast(by_doc.schema["spans"].dataType))
-    both = hit.unionByName(whole).select("doc_id", *keep, "text", "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name not in ("text", "spans"))
+    hit = held_only(docs, held, "doc").join(by_doc, "doc", "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("doc", "text"))
+    n = 2 + len(keep)  # doc, doc_id and the columns to keep come first, then the text, then its spans
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        other_work()
         for batch in batches:
+            if whole:
+                batch = batch.filter(pa.array(~held.has(batch.column(0))))
+            found = [None] * batch.num_rows if whole else batch.column(n + 1).to_pylist()
             sizes, kept, removed, counts = [], [], [], []
-            for text, spans in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(utf8(batch.column(n)), found, strict=True):
                 left, r, c = kept_bytes(text or b"", [(s["start"], s["end"]) for s in spans or []])
                 sizes.append(len(text or b""))
                 kept.append(left)
                 removed.append(r)
                 counts.append(c)
-            others = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("text", "spans")]
-            names = [f.name for f in batch.schema if f.name not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            columns = [*(batch.column(i) for i in range(1, n)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(cut, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema += ", n_bytes long, n_removed long, n_spans long, kept binary"
+    lossy = hit.select("doc", "doc_id", *keep, "text", "spans").mapInArrow(lambda b: cut(b, False), schema)
+    return lossy.unionByName(docs.mapInArrow(lambda b: cut(b, True), schema))

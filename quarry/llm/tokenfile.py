@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, utf8
+from .common import bounded_batches, fresh_path, utf8
 from .tokens import encoder
 
 _MASK = 0xA282EAD8
@@ -54,6 +54,7 @@ def unframe(record: bytes) -> bytes:
     return payload[1:] if payload[0] == 4 else np.frombuffer(payload[1:], "<u2").astype("<u4").tobytes()
 
 
+@bounded_batches
 def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int | None = 2, id_width: int = 2) -> DataFrame:
     """Encode ``docs(doc_id, text)`` into record files under ``out_dir`` in ascending doc_id
     order; returns the index (already written), with ``start``: the ids of all documents before.
@@ -99,6 +100,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
     return index.join(base.select("part", before.alias("base")), "part").select(*[c for c in index.columns if c != "local_start"], (F.col("base") + F.col("local_start")).alias("start"))
 
 
+@bounded_batches
 def read_records(index: DataFrame, out_dir: str, gap: int = 1 << 16, most: int = 8 << 20) -> DataFrame:
     """Read the indexed records back: adjacent ones in one ranged read of at most ``most`` bytes
     (a longer record is read alone).  Adds ``ids`` (binary, little-endian unsigned 32-bit)."""

@@ -12,6 +12,8 @@ import os
 
 import numpy as np
 
+from .common import keep_until_other_work
+
 #: Chunks remembered by a Python worker before its table starts anew.
 MAX_CHUNKS = 600_000
 
@@ -28,6 +30,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        keep_until_other_work(self.clear)
 
     def __missing__(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters alone: the model's own alphabet, one word

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, other_work, saved
+
 # Letters of other scripts that look like Latin ones, and what they stand for.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w",
@@ -120,6 +122,7 @@ def word_parts(word: str) -> Iterator[str]:
         yield f" {word[:k]}"
 
 
+@bounded_batches
 def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, max_fit_rows: int = 12_000, min_support: int = 4, max_entries: int = 20_000) -> Lexicon:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
@@ -141,12 +144,21 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = Non
         return seed
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            entries = list(seen[0].keys() | seen[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *[pa.array([c[e] for e in entries], pa.int64()) for c in seen]], names=["entry", "clean", "toxic"])
+            for c in seen:
+                c.clear()
+            return out
+
         for batch in batches:
-            seen: tuple[Counter, Counter] = Counter(), Counter()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 seen[bool(y)].update({p for w in set(fold(text).split()) for p in word_parts(w)})
-            entries = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *[pa.array([c[e] for e in entries], pa.int64()) for c in seen]], names=["entry", "clean", "toxic"])
+            if len(seen[0]) + len(seen[1]) > 300_000:
+                yield flush()
+        yield flush()
 
     counted = sample.filter("not calibrates").select("text", "y").mapInArrow(parts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
     odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
@@ -161,6 +173,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = Non
     lexicon = Lexicon(weights, set(seed.exceptions), seed.logit)
 
     def calibrate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         automaton = lexicon.automaton()
         for batch in batches:
             rows = []
@@ -195,10 +208,12 @@ def text_score(text: str | None, lexicon: Lexicon, automaton) -> tuple[float, in
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + b1 * x1 + b2 * x2)))), len(found), total
 
 
+@bounded_batches
 def accepted(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
     """The rows, all columns kept, whose text scores below the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         automaton = lexicon.automaton()
         for batch in batches:
             yield batch.filter(pa.array([text_score(t, lexicon, automaton)[0] < limit for t in batch.column("text").to_pylist()], pa.bool_()))
@@ -209,10 +224,12 @@ def accepted(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame
 SCORED = "score double, n_matches long, weight double"
 
 
+@bounded_batches
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, score (0 to 1), n_matches, weight."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         automaton = lexicon.automaton()
         for batch in batches:
             rows = list(zip(*(text_score(t, lexicon, automaton) for t in batch.column("text").to_pylist()), strict=True)) or [[]] * 3
