@@ -17,15 +17,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, utf8
+from .common import bounded_batches, other_work, saved, utf8
 
 COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS = bytes(b"#*$%&|<>")
@@ -66,10 +65,12 @@ def text_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, repeated, covered
 
 
+@bounded_batches
 def document_counts(docs: DataFrame) -> DataFrame:
     """The base statistics of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         for batch in batches:
             rows = list(zip(*map(text_counts, utf8(batch.column("text"))), strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(c, pa.int64()) for c in rows)], names=[x.split()[0] for x in COUNTS.split(", ")])
@@ -122,23 +123,23 @@ def _rounded(x: float) -> float:
     return float(f"{x:.10g}")
 
 
-def _estimate(sums: pd.DataFrame, wanted: float | None, scale: float, limit: float | None) -> dict:
+def _estimate(sums: dict[str, np.ndarray], wanted: float | None, scale: float, limit: float | None) -> dict:
     """Mean and inverse covariance of the nearest bins: those that hold the share ``wanted`` of the
     rows, or those below ``limit``."""
-    sums = sums.sort_values("bin")
-    rows = int(sums["n"].sum())
+    order = np.argsort(sums["bin"])
+    column = lambda name: sums[name][order]
+    count = column("n")
+    rows = int(count.sum())
     if wanted is not None:
-        keep = np.concatenate([[True], sums["n"].cumsum().to_numpy()[:-1] < math.ceil(wanted * rows)])
+        keep = np.concatenate([[True], np.cumsum(count)[:-1] < math.ceil(wanted * rows)])
     else:
-        keep = (sums["bin"] <= limit).to_numpy()
-        if not keep.any():
-            keep[0] = True
-    part = sums[keep]
-    n = float(part["n"].sum())
-    mean = np.array([part[f"s{i}"].sum() / n for i in range(DIM)])
+        keep = column("bin") <= limit
+        keep[0] |= not keep.any()
+    n = float(count[keep].sum())
+    mean = np.array([column(f"s{i}")[keep].sum() / n for i in range(DIM)])
     cov = np.zeros((DIM, DIM))
     for i, j in _PAIRS:
-        cov[i, j] = cov[j, i] = part[f"q{i}{j}"].sum() / n - mean[i] * mean[j]
+        cov[i, j] = cov[j, i] = column(f"q{i}{j}")[keep].sum() / n - mean[i] * mean[j]
     cov = cov * scale
     for i in range(DIM):
         cov[i, i] = max(cov[i, i], FLOOR[i])
@@ -150,6 +151,34 @@ def _estimate(sums: pd.DataFrame, wanted: float | None, scale: float, limit: flo
     return {"rows": rows, "used": int(n), **{f"m{i}": _rounded(mean[i]) for i in range(DIM)}, **{f"p{i}{j}": _rounded(inverse[i, j]) for i, j in _PAIRS}}
 
 
+_NAMES = [x.split()[0] for x in FITTED.split(", ")]
+_FITTED_TYPES = [pa.string()] * 2 + [pa.int64()] * 2 + [pa.float64()] * (DIM + len(_PAIRS))
+
+
+#: Groups that one task fits; a group is some thousands of sums at most.
+GROUPS_A_TASK = 20_000
+
+
+def fit_groups(sums: DataFrame, fit: Callable[[dict[str, np.ndarray]], dict], tasks: int) -> DataFrame:
+    """``fit`` of each group's rows of sums, as columns of arrays.  A group's rows are gathered into
+    one by Spark, and few tasks fit all groups: short Python tasks by the hundred cost more."""
+    key = ["lang", "source"]
+    names = [c for c in sums.columns if c not in key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
+        for batch in batches:
+            rows = []
+            for lang, source, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                out = fit({c: held.values.field(c).to_numpy(zero_copy_only=False) for c in names})
+                rows.append([{"lang": lang, "source": source, **out}[c] for c in _NAMES])
+            columns = zip(*rows, strict=True) if rows else [[]] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FITTED_TYPES, strict=True)], names=_NAMES)
+
+    gathered = sums.groupBy(*key).agg(F.collect_list(F.struct(*names)).alias("held"))
+    return saved(gathered.coalesce(tasks).mapInArrow(run, FITTED), "mcd-fit")
+
+
 def squared_distance() -> Column:
     """Squared Mahalanobis distance of x0.. from m0.. under the inverse covariance p00.."""
     total = None
@@ -176,33 +205,31 @@ def concentrate(vectors: DataFrame, h: float = 0.75, steps: int = 6, outer: floa
     key = ["lang", "source"]
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]]
 
-    def refit(binned: DataFrame, wanted: float | None, factor: float, limit: float | None) -> DataFrame:
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = _estimate(pdf, wanted, factor, limit)
-            return pd.DataFrame([{"lang": pdf["lang"].iloc[0], "source": pdf["source"].iloc[0], **out}])
+    tasks = 2 + vectors.select(*key).distinct().count() // GROUPS_A_TASK
 
-        # A group of the second aggregation has a row per bin, some thousands at most.
-        fitted = binned.groupBy(*key, "bin").agg(*sums).groupBy(*key).applyInPandas(fit, FITTED)
-        return saved(fitted, "mcd-fit")
+    def refit(binned: DataFrame, wanted: float | None, factor: float, limit: float | None) -> DataFrame:
+        return fit_groups(binned.groupBy(*key, "bin").agg(*sums), lambda x: _estimate(x, wanted, factor, limit), tasks)
 
     # The start: distance from the group's centre in robust units, all from exact histograms.
     grid = [F.floor(F.col(f"x{i}") * 64).cast("long").alias(f"g{i}") for i in range(DIM)]
     tall = vectors.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("k"), g.alias("g")) for i, g in enumerate(grid)])).alias("e")).groupBy(*key, F.col("e.k").alias("k"), F.col("e.g").alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
-    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"lang": pdf["lang"].iloc[0], "source": pdf["source"].iloc[0], "rows": 0, "used": 0} | {f"p{i}{j}": 0.0 for i, j in _PAIRS}
-        for k in range(DIM):
-            own = pdf[pdf["k"] == k].sort_values("g")
-            total = own["n"].cumsum().to_numpy()
-            value = (own["g"].to_numpy() + 0.5) / 64
-            mid = value[np.searchsorted(total, total[-1] / 2)]
+    def medians(group: dict[str, np.ndarray]) -> dict:
+        out = {"rows": 0, "used": 0} | {f"p{i}{j}": 0.0 for i, j in _PAIRS}
+        k, g, n = group["k"], group["g"], group["n"]
+        for i in range(DIM):
+            own = np.flatnonzero(k == i)
+            own = own[np.argsort(g[own])]
+            value, count = (g[own] + 0.5) / 64, n[own]
+            half = count.sum() / 2
+            mid = value[np.searchsorted(np.cumsum(count), half)]
             away = np.argsort(np.abs(value - mid), kind="stable")
-            spread = np.abs(value - mid)[away][np.searchsorted(own["n"].to_numpy()[away].cumsum(), total[-1] / 2)] * 1.4826
-            out[f"m{k}"] = float(mid)
-            out[f"p{k}{k}"] = _rounded(1 / max(spread**2, FLOOR[k]))
-        return pd.DataFrame([out])
+            spread = np.abs(value - mid)[away][np.searchsorted(np.cumsum(count[away]), half)] * 1.4826
+            out[f"m{i}"] = float(mid)
+            out[f"p{i}{i}"] = _rounded(1 / max(spread**2, FLOOR[i]))
+        return out
 
-    fitted = saved(tall.groupBy(*key).applyInPandas(medians, FITTED), "mcd-start")
+    fitted = fit_groups(tall, medians, tasks)
     binned = lambda fit: matched(vectors, fit).withColumn("bin", F.floor(F.log2(squared_distance() + 1e-3) * FINE).cast("long"))
     for _ in range(steps):
         fitted = refit(binned(fitted), h, scale, None)
