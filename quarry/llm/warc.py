@@ -26,12 +26,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, saved, utf8
+from .common import bounded_batches, fresh_path, saved, utf8
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Bytes after which a task begins another archive; bytes of a stripe and of one ranged read.
-FILE_BYTES, STRIPE, READ = 256 << 20, 32 << 20, 8 << 20
+FILE_BYTES, STRIPE, READ = 256 << 20, 8 << 20, 8 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -80,6 +80,7 @@ def parse(data: bytes) -> tuple:
     return number(fields["WARC-Record-ID"]), None if url == "urn:none" else url, fields["WARC-Type"], own, size, number(fields["WARC-Refers-To"]) if revisit else None, None if revisit else payload
 
 
+@bounded_batches
 def write_archives(pages: DataFrame, out_dir: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages(page_id, url, html)`` under ``out_dir``; returns the index, already written."""
     spark = pages.sparkSession
@@ -120,9 +121,12 @@ def write_archives(pages: DataFrame, out_dir: str, file_bytes: int = FILE_BYTES)
     return spark.read.schema(INDEX).parquet(f"{out_dir}/index")
 
 
+@bounded_batches
 def read_archives(index: DataFrame, out_dir: str, gap: int = 1 << 16, most: int = READ) -> DataFrame:
     """The records of the given index rows.  ``gap``: bytes between records that are read over."""
-    wanted = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("file", "offset")
+    # As many tasks as there are stripes of archive to read: the index itself is too small to tell.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    wanted = index.select("file", "offset", "length").repartition(1 + total // STRIPE, "file", F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(out_dir)
