@@ -2,8 +2,10 @@
 
 The vocabulary's normaliser and splitter never look across ASCII white space, so a
 text's ids are its chunks' ids joined.  A bounded per-worker table remembers each
-chunk's ids; a chunk that is not there is encoded by the library.  Lower-casing A-Z
-first is what the normaliser does anyway and makes the table smaller.
+chunk's ids; a chunk that is not there is encoded by the library.  ASCII chunks are lower-cased
+first, as the normaliser does anyway, which makes the table smaller.  Two kinds keep their case:
+chunks with ``<|``, since special tokens are matched before the normaliser, and chunks beyond
+ASCII, since the normaliser composes letters before it lower-cases.
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ MAX_CHUNKS = 600_000
 _encoders: dict[str, Encoder] = {}
 
 
+def _foldable(text: bytes) -> bool:
+    """Whether lower-casing A-Z before the library sees the text leaves its ids as they are."""
+    return text.isascii() and b"<|" not in text
+
+
 class Encoder(dict):
     """Maps a chunk's bytes to its ids as little-endian unsigned 32-bit integers."""
 
@@ -33,6 +40,11 @@ class Encoder(dict):
         keep_until_other_work(self.clear)
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if _foldable(chunk) and (low := chunk.lower()) != chunk:
+            out = self[low]
+            if len(chunk) <= 64:
+                self[chunk] = out
+            return out
         if chunk.isalpha():  # ASCII letters alone: the model's own alphabet, one word
             ids = [t.id for t in self.model.tokenize(chunk.decode())]
         elif len(chunk) > 1 and chunk[-1:] in b".," and chunk[:-1].isalpha():
@@ -50,7 +62,9 @@ class Encoder(dict):
         """All ids of a whole text (null: none) and ``end``, as little-endian bytes."""
         if len(self) > MAX_CHUNKS:
             self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split())) + end if text else end
+        if not text:
+            return end
+        return b"".join(map(self.__getitem__, (text.lower() if _foldable(text) else text).split())) + end
 
 
 def encoder(path: str) -> Encoder:

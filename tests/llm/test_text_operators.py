@@ -148,6 +148,13 @@ def test_encoder(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "x<|EndOfText|><|STARTOFTEXT|>y <|endoftext|>Z", "É <|ENDOFTEXT|> É<|endoftext|>", "Plain WORDS, <| HERE |>", "H\u0331 T\u0308A W\u030a J\u030c A\u030a"])
+def test_encoder_keeps_case_that_matters(tokenizer, text):
+    """Special tokens are matched case-sensitively, and letters composed, before lower-casing."""
+    got = np.frombuffer(encoder(TOKENIZER).encode(text.encode()), "<u4").tolist()
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_records(spark, tokenizer):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in tokenfile.token_digest(docs, TOKENIZER).collect()}
