@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents with equal shingle sets form a class, represented by its smallest doc_id.  Banded
+Documents with equal shingle sets form a class, represented by its smallest row number.  Banded
 signatures of the representatives give buckets; each bucket is a star around its smallest
 member, its hub, so links of a bucket of any size cost one row per member.  All candidate
 pairs of a bucket meet in the group of its hub.  There, signatures are compared batch by
@@ -12,8 +12,9 @@ split into blocks, and pairs of blocks, that other tasks can take.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds 64-bit hashes of shingles.
 Fewer words than a shingle make one shingle; null, empty and wordless texts have an empty set
-and are linked with nothing.  Rows without a doc_id are kept and unlinked.  Repeated doc_ids
-count as the smallest id that their text reaches.  Extra columns are ignored.
+and are linked with nothing.  Rows without a doc_id are kept and unlinked.  Rows are numbered in
+order of (doc_id, text) and linked by number, so texts under one doc_id are judged apart; of a
+component the row of the smallest number is kept.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import IdFilter, bounded_batches, id_filter, mix, other_work, saved, shingle_hashes, utf8, word_hashes
 from .graph import components
+from .suffixdedup import numbered
 
 #: Two texts of similarity 0.8 share no band with a probability of (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -134,7 +136,7 @@ class Groups:
 
 
 def shingle_features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, and of texts with words: a digest of the set, and its signature."""
+    """doc, doc_id, n_shingles, and of texts with words: a digest of the set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other_work()
@@ -145,18 +147,24 @@ def shingle_features(docs: DataFrame, size: int) -> DataFrame:
                 counts.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 sigs.append(signature(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc", "doc_id", "n_shingles", "digest", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select("doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, n_shingles long, digest binary, sig binary")
 
 
 @bounded_batches
 def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80, miss: float = 1e-8) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, n_shingles, component_id, kept: components of the links
     with 100 * intersection >= ``limit`` * union."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = row_components(numbered(docs.select(F.col("doc_id").cast("long"), "text")), size, limit, miss)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@bounded_batches
+def row_components(docs: DataFrame, size: int = 5, limit: int = 80, miss: float = 1e-8) -> DataFrame:
+    """``near_duplicates`` of rows that have distinct numbers ``doc`` in order of doc_id, with these."""
     features = saved(shingle_features(docs, size), "neardup-features")
-    classes = saved(features.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "neardup-classes")
+    classes = saved(features.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "neardup-classes")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,28 +184,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80, miss: float
     # The sets of all that share a bucket, made once more from their texts.  A filter of bounded
     # size leaves most other texts out before anything is shuffled; the join is exact.
     wanted = stars.select("rep").distinct()
-    near = saved(_sets(docs, size, id_filter(wanted, "rep")).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"), "neardup-sets")
-    grouped = placed.join(near, placed.rep == near.doc_id).select("hub", "p", "q", "own", "rep", "sig", "set")
+    near = saved(_sets(docs, size, id_filter(wanted, "rep")).join(wanted, F.col("doc") == F.col("rep"), "left_semi"), "neardup-sets")
+    grouped = placed.join(near, placed.rep == near.doc).select("hub", "p", "q", "own", "rep", "sig", "set")
     grouped = grouped.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "rep")
     edges = grouped.mapInArrow(lambda batches: _verify(batches, Groups(limit, miss)), "a long, b long")
     joined = components(edges)
-    ends = saved(classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "neardup-ends")
-    out = features.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
-    component = F.least("component", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # Of linked classes only: their component's number, and the doc_id that has it.
+    names = classes.select(F.col("rep").alias("component"), F.col("rep_id").alias("component_id"))
+    moved = joined.join(names, "component").select("node", "component", "component_id")
+    ends = classes.select("digest", "rep", "rep_id").join(moved, F.col("rep") == F.col("node"), "left")
+    ends = saved(ends.select("digest", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "rep_id").alias("component_id")), "neardup-ends")
+    out = features.select("doc", "doc_id", "n_shingles", "digest").join(ends, "digest", "left")
+    known = F.col("doc_id").isNotNull()
+    component_id = F.when(known, F.coalesce("component_id", "doc_id"))
+    return out.select("doc", "doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(~known | (F.col("doc") == F.col("component")), F.lit(True)).alias("kept"))
 
 
 def _sets(docs: DataFrame, size: int, held: IdFilter) -> DataFrame:
-    """doc_id, signature and set of the documents that may be in ``held``."""
+    """doc, signature and set of the documents that may be in ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other_work()
         for batch in batches:
-            batch = batch.filter(pa.array(held.has(batch.column("doc_id"))))
+            batch = batch.filter(pa.array(held.has(batch.column("doc"))))
             own = [shingle_hashes(word_hashes(t or b""), size) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "sig", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([signature(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc", "sig", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig binary, set binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, sig binary, set binary")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], groups: Groups) -> Iterator[pa.RecordBatch]:

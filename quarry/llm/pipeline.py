@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import held_only, id_filter, saved
 from .decontam import clean_documents
-from .neardup import near_duplicates
+from .neardup import row_components
 from .packing import pack_documents
 from .queries import TOKENIZER, table
-from .suffixdedup import suffix_dedup
+from .suffixdedup import numbered, suffix_dedup
 from .toxicity import accepted, held_out, learn_lexicon
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,11 +24,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    gone = saved(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")), "near-duplicates")
+    docs = numbered(docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long")))
+    gone = saved(row_components(docs).filter("not kept").select(F.col("doc").alias("_gone")), "near-duplicates")
     # Only documents that may have to go are shuffled.
-    docs, held = docs.select(*COLUMNS), id_filter(gone, "_gone")
-    unsure = held_only(docs, held, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return held_only(docs, held, "doc_id", False).unionByName(unsure)
+    held = id_filter(gone, "_gone")
+    unsure = held_only(docs, held, "doc").join(gone, F.col("doc") == F.col("_gone"), "left_anti")
+    return held_only(docs, held, "doc", False).unionByName(unsure).select(*COLUMNS)
 
 
 def suffix_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from conftest import SF
 from llm.edges import edge_docs, empty_like
 from pyspark.sql import functions as F
 
-from quarry.llm import common, graph, neardup, suffixdedup, suffixsort
+from quarry.llm import common, graph, neardup, pipeline, suffixdedup, suffixsort
 
 
 def shingles(text, size):
@@ -79,6 +79,18 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(empty_like(docs)).count() == 0
 
 
+def test_linked_and_identical_rows_under_one_id(spark):
+    """Texts of one doc_id are judged apart, and of identical rows one stays."""
+    words = [f"w{i}" for i in range(60)]
+    a, near, other, same = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"o{i}" for i in range(30)), " ".join(f"s{i}" for i in range(30))
+    rows = [(3, near), (9, a), (9, other), (12, same), (12, same), (15, same), (20, other + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (9, 3, False), (9, 9, True), (12, 12, False), (12, 12, True), (15, 12, False), (20, 9, False)]
+    left = sorted((r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs, SF).collect())
+    assert left == [(3, near), (9, other), (12, same)]
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     for n, m in neardup.least_matches(0.8, 1e-8):
         below = sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m))
