@@ -106,10 +106,14 @@ def _events(anchor, run, doc, first, second, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((anchor, run, doc, first, second, kind), _TYPES, strict=True)], names=[x.split()[0] for x in EVENTS.split(", ")])
 
 
+def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A key that spreads places of any document and position."""
+    return mix(doc.astype(np.uint64) + (start.astype(np.uint64) << np.uint64(20))).view(np.int64)
+
+
 def _spans(doc, start, end) -> pa.RecordBatch:
     doc, start, end = joined_spans(doc, start, end)
-    key = mix(doc.astype(np.uint64) + (start.astype(np.uint64) << np.uint64(20))).view(np.int64)
-    return _events(key, np.zeros(len(doc), np.int64), doc, start, (end - start).astype(np.int32), np.zeros(len(doc), np.int8))
+    return _events(_spread(doc, start), np.zeros(len(doc), np.int64), doc, start, (end - start).astype(np.int32), np.zeros(len(doc), np.int8))
 
 
 def _read_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -202,6 +206,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
     for batch in batches:
         rows: list[tuple] = []
+        later: list[tuple[int, int]] = []
         for doc, text, wanted in zip(batch.column("doc").to_pylist(), utf8(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
             for w in wanted:
                 first, count = w["first"], w["second"]
@@ -212,8 +217,11 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                     window = text[i : i + length]
                     other = seen.setdefault(window, (doc, i))
                     if other != (doc, i):  # folded here: the later of the two goes, as a row without bytes
-                        seen[window], later = min(other, (doc, i)), max(other, (doc, i))
-                        rows.append((later[0] ^ later[1] << 40, 1, *later, None))
+                        seen[window] = min(other, (doc, i))
+                        later.append(max(other, (doc, i)))
+        if later:
+            keys = _spread(*np.array(later, np.int64).T).tolist()
+            rows += [(key, 1, *place, None) for key, place in zip(keys, later, strict=True)]
         yield out(rows)
         if len(seen) > 100_000:
             yield out(folded())

@@ -197,6 +197,19 @@ def test_suffix_segments(spark, monkeypatch):
     assert digest(suffixdedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
+def test_suffix_common_anchor_far_on(spark, monkeypatch):
+    """Window by window beyond position 2**23 the same goes as by the suffix sort."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(160))
+    parts = [np.random.default_rng(8).integers(97, 123, (1 << 23) + 100, dtype=np.uint8).tobytes().decode()]
+    for k in range(12):  # different runs around the same anchors
+        parts += [passage[k : 150 + k % 5], f" {k} " * 5]
+    docs = spark.createDataFrame([(1, "".join(parts)), (2, passage)], "doc_id long, text string")
+    want = digest(suffixdedup.suffix_dedup(docs))
+    monkeypatch.setattr(suffixdedup, "MANY_RUNS", 3)
+    assert digest(suffixdedup.suffix_dedup(docs)) == want and want[0][2] > 1000
+
+
 def test_suffix_edges(spark):
     docs = edge_docs(spark).withColumns({"spans": F.lit("s"), "anchor": F.lit(1)})
     got = digest(suffixdedup.suffix_dedup(docs))
