@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, other_work, saved, utf8
 
-COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = bytes(b"#*$%&|<>")
 _CONTINUED = bytes(range(0x80, 0xC0))
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -35,12 +35,21 @@ _WHITE = b" \t\n\r\x0b\x0c"
 DIM = 4
 #: Bins to a doubling of the squared distance.
 FINE = 16
+#: Words and lines added to either side of the odds of repeated words and of repeated lines.
+PRIOR = (4.0, 1.0)
+#: Rows that an estimate needs at least.
+LEAST = 2 * (DIM + 1)
 
 
 def text_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a UTF-8 text."""
+    return text_and_line_counts(text)[:5]
+
+
+def text_and_line_counts(text: bytes | None) -> tuple[int, int, int, int, int, int]:
+    """``text_counts`` and the number of lines that aren't blank."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = text.split()
     chars = len(text.translate(None, _CONTINUED + _WHITE))
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
@@ -62,7 +71,7 @@ def text_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
                 if w in many:
                     covered += i + 3 - max(i, end)
                     end = i + 3
-    return n, chars, symbols, repeated, covered
+    return n, chars, symbols, repeated, covered, repeated + len(seen)
 
 
 @bounded_batches
@@ -72,22 +81,24 @@ def document_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other_work()
         for batch in batches:
-            rows = list(zip(*map(text_counts, utf8(batch.column("text"))), strict=True)) or [[]] * 5
+            rows = list(zip(*map(text_and_line_counts, utf8(batch.column("text"))), strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(c, pa.int64()) for c in rows)], names=[x.split()[0] for x in COUNTS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(run, COUNTS)
 
 
 def statistic_vector(counts: DataFrame) -> DataFrame:
-    """Adds x0..x3: mean word length, and shares of symbols, repeated words and repeated lines,
-    on scales where ordinary text is near enough normal."""
+    """Adds x0..x3: mean word length, and shares of symbols, repeated words and repeated lines.
+    The last two are log odds with ``PRIOR`` added to either side, so texts without any
+    repetition still differ, by the length that they say it over."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    words, lines = PRIOR
     return counts.select(
         "*",
         F.log((F.col("word_chars") + 4) / (n + 1)).alias("x0"),
         F.sqrt(F.col("n_symbols") / (F.col("word_chars") + 1)).alias("x1"),
-        F.sqrt(F.col("n_repeat_words") / n).alias("x2"),
-        F.sqrt(F.col("n_dup_lines") / (n + 20)).alias("x3"),
+        F.log((F.col("n_repeat_words") + words) / (n - F.col("n_repeat_words") + words)).alias("x2"),
+        F.log((F.col("n_dup_lines") + lines) / (F.col("n_lines") - F.col("n_dup_lines") + lines)).alias("x3"),
     )
 
 
@@ -111,9 +122,9 @@ def chi2_quantile(p: float, k: int) -> float:
     return low
 
 
-#: Statistics that are flat in most documents (no repetition at all) must not make the
+#: A statistic that is the same in most documents (no symbol at all) must not make the
 #: covariance singular: no spread is taken to be smaller than this.
-FLOOR = np.array([0.05, 0.03, 0.15, 0.06]) ** 2
+FLOOR = np.full(DIM, 0.01) ** 2
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 FITTED = "lang string, source string, rows long, used long, " + ", ".join([f"m{i} double" for i in range(DIM)] + [f"p{i}{j} double" for i, j in _PAIRS])
 
@@ -268,7 +279,7 @@ def pooled(vectors: DataFrame, min_group: int) -> DataFrame:
     return joined.withColumns({"lang": F.when(F.col("moved"), F.col("to_lang")).otherwise(F.col("lang")), "source": F.when(F.col("moved"), F.lit("*")).otherwise(F.col("source"))}).drop("_l", "_s", "to_lang", "moved")
 
 
-def quality_verdicts(docs: DataFrame, confidence: float = 1 - 1e-9, min_group: int = 100) -> DataFrame:
+def quality_verdicts(docs: DataFrame, confidence: float = 1 - 1e-6, min_group: int = 100) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the squared distance (null: no estimate)."""
     counts = saved(document_counts(docs), "quality-counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

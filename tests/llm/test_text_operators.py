@@ -122,6 +122,35 @@ def test_robust_estimate(spark):
     assert min(sorted(got)[-200:]) > limit > np.quantile(got, 0.79)
 
 
+def ordinary(n, seed=6):
+    """Texts of 60 to 600 words in lines of about a dozen, hardly a repetition in them."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+    return ["\n".join(" ".join(word() for _ in range(rng.integers(5, 20))) for _ in range(rng.integers(6, 50))) for _ in range(n)]
+
+
+def with_defects(text):
+    """One text with each kind of defect alone: words repeated, lines repeated, symbols, long words."""
+    words, lines = text.split(), text.split("\n")
+    half = int(len(words) * 0.24)
+    return {
+        "words": " ".join(words + words[:half] * 2),  # under the base rule's 50 per cent
+        "lines": "\n".join([*lines, *[f"x{k % 26}" for k in range(4 * len(lines))]]),
+        "symbols": "\n".join(x + " #$%" for x in lines),
+        "long": " ".join(a + b for a, b in zip(words[::2], words[1::2], strict=False)),
+    }
+
+
+def test_each_defect_alone_is_rejected(spark):
+    texts = ordinary(400)
+    odd = with_defects(max(texts[:50], key=len))
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(1000 + k, t, "en", "s") for k, t in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in outliers.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[k]["kept"] for k in range(400)) >= 398
+    for k, name in enumerate(odd):
+        assert not got[1000 + k]["base_failed"] and not got[1000 + k]["kept"], (name, got[1000 + k])
+
+
 def test_quality_edges(spark):
     docs = edge_docs(spark).withColumns({"m0": F.lit(1), "kept": F.lit("z")})
     out = outliers.quality_verdicts(docs).collect()
