@@ -8,9 +8,10 @@ group hold all that a step needs, so a step is one aggregation with map-side sum
 a group's size.  The end is reweighted; a document is rejected beyond a far chi-square quantile.
 
 Null texts have no words; null languages and sources are groups of their own.  Sources with
-fewer than ``min_group`` rows that pass are estimated together per language, and languages
-where that gives too few, all together; what is then still below ``min_group`` rejects nothing.  Repeated ids are judged
-row by row.  Extra columns are ignored.
+fewer than ``min_group`` rows that pass are judged by the estimate of all passing rows of their
+language, and by that of all passing rows where the language has too few itself.  Only tables of
+fewer than ``LEAST`` passing rows give no estimate, and no distance.  Repeated ids are judged row
+by row.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -265,26 +266,42 @@ def _chi2_cdf(x: float, k: int) -> float:
     return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
-def pooled(vectors: DataFrame, min_group: int) -> DataFrame:
-    """The rows' groups: lang and source become those that their estimate is made for."""
-    passed = vectors.filter(~F.col("base_failed"))
-    counts = saved(passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")), "quality-groups")
-    small = counts.filter(F.col("rows") < min_group)
-    langs = small.groupBy("lang").agg(F.sum("rows").alias("in_lang")).select(F.col("lang").alias("_k"), "in_lang")
-    moved = saved(
-        small.join(langs, F.col("lang").eqNullSafe(F.col("_k"))).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.when(F.col("in_lang") >= min_group, F.col("lang")).otherwise(F.lit("*")).alias("to_lang"), F.lit(True).alias("moved")),
-        "quality-moved",
+def pooled(vectors: DataFrame, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with lang and source replaced by the key of the estimate that judges them, and the
+    passing rows that estimates are made from, once for each estimate that they belong to.
+
+    The key of a source is (=lang, =source), of a language (=lang, *), of all rows (*, *)."""
+    every = F.lit("*")
+    counts = saved(vectors.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("rows")), "quality-groups")
+    langs = counts.groupBy("lang").agg(F.sum("rows").alias("in_lang"), F.min("rows").alias("least"))
+    langs = langs.select(F.col("lang").alias("_k"), "in_lang", (F.col("least") < min_group).alias("has_small"))
+    small, few = F.col("rows") < min_group, F.col("in_lang") < min_group
+    groups = counts.join(langs, F.col("lang").eqNullSafe(F.col("_k"))).select(
+        F.col("lang").alias("_l"),
+        F.col("source").alias("_s"),
+        F.when(small & few, every).otherwise(F.concat(F.lit("="), "lang")).alias("to_lang"),
+        F.when(small, every).otherwise(F.concat(F.lit("="), "source")).alias("to_source"),
+        (F.col("has_small") & ~few).alias("for_lang"),
+        (small & few).alias("for_all"),
     )
-    joined = vectors.join(moved, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    return joined.withColumns({"lang": F.when(F.col("moved"), F.col("to_lang")).otherwise(F.col("lang")), "source": F.when(F.col("moved"), F.lit("*")).otherwise(F.col("source"))}).drop("_l", "_s", "to_lang", "moved")
+    groups = saved(groups, "quality-moved")
+    joined = vectors.join(groups, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")))
+    own = joined.withColumns({"own_lang": F.concat(F.lit("="), "lang"), "own": ~(F.col("to_source").eqNullSafe(every)), "lang": F.col("to_lang"), "source": F.col("to_source")})
+    own = saved(own.drop("_l", "_s", "to_lang", "to_source", "for_all"), "quality-vectors")
+    passed, values = own.filter(~F.col("base_failed")), [f"x{i}" for i in range(DIM)]
+    sample = passed.filter("own").select("lang", "source", *values)
+    sample = sample.union(passed.filter("for_lang").select(F.col("own_lang").alias("lang"), every.alias("source"), *values))
+    if not groups.filter("for_all").isEmpty():
+        sample = sample.union(passed.select(every.alias("lang"), every.alias("source"), *values))
+    return own, sample
 
 
 def quality_verdicts(docs: DataFrame, confidence: float = 1 - 1e-6, min_group: int = 100) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the squared distance (null: no estimate)."""
     counts = saved(document_counts(docs), "quality-counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    vectors = saved(pooled(statistic_vector(counts.withColumn("base_failed", failed)), min_group), "quality-vectors")
-    fitted = concentrate(vectors.filter(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(DIM)]))
-    judged = matched(vectors, fitted).withColumn("distance2", F.when(F.col("rows") >= min_group, squared_distance()))
+    vectors, sample = pooled(statistic_vector(counts.withColumn("base_failed", failed)), min_group)
+    fitted = concentrate(sample)
+    judged = matched(vectors, fitted).withColumn("distance2", F.when(F.col("rows") >= LEAST, squared_distance()))
     far = F.coalesce(F.col("distance2") > chi2_quantile(confidence, DIM), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "distance2")

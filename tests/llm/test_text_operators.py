@@ -151,6 +151,18 @@ def test_each_defect_alone_is_rejected(spark):
         assert not got[1000 + k]["base_failed"] and not got[1000 + k]["kept"], (name, got[1000 + k])
 
 
+@pytest.mark.parametrize("n", [40, 200])
+def test_small_sources_are_judged(spark, n):
+    """By their language's rows, or by all: in a table of few rows too, and whatever sources are called."""
+    texts = ordinary(n)
+    odd = with_defects(max(texts, key=len))["symbols"]
+    rows = [(k, t, "en", "large") for k, t in enumerate(texts)] + [(1000, odd, "en", "small"), (1001, odd, "xx", "*"), (1002, odd, None, None), (1003, texts[0], "en", "*"), (1004, texts[1], "xx", None), (1005, "too short", "yy", "s")]
+    got = {r["doc_id"]: r for r in outliers.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r["distance2"] is not None for r in got.values())
+    assert [got[k]["kept"] for k in range(1000, 1006)] == [False, False, False, True, True, False]
+    assert sum(got[k]["kept"] for k in range(n)) >= 0.95 * n
+
+
 def test_quality_edges(spark):
     docs = edge_docs(spark).withColumns({"m0": F.lit(1), "kept": F.lit("z")})
     out = outliers.quality_verdicts(docs).collect()
