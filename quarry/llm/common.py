@@ -6,6 +6,7 @@ import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def _importable() -> None:
     """Let Python workers that start on this host import the library from where the driver did."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -27,13 +27,15 @@ def _importable() -> None:
 
 _importable()
 
-#: Used only where the session leaves spark.checkpoint.dir unset, as local tests do.
+#: Used only by local sessions that leave spark.checkpoint.dir unset, as tests do.
 DEFAULT_SHARED = "file:///tmp/checkpoints/quarry"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or DEFAULT_SHARED).rstrip("/")
 
 
@@ -42,13 +44,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage
     and survives the loss of any executor."""
     path = fresh_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    if _written:
+        _written[-1].append(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.quarry_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``saved`` writes in the block are deleted at its end, but for those passed to the
+    function it gives, which the block around it, if any, then owns."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.quarry_path)
+        return df
+
+    _written.append([])
+    try:
+        yield keep
+    finally:
+        made = _written.pop()
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
+        if _written:
+            _written[-1].extend(p for p in made if p in kept)
 
 
 def release(spark: SparkSession) -> None:
@@ -63,24 +94,35 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Rows of an Arrow batch at most: a Python worker holds a batch or two, whatever its texts' length.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most (one row may be longer): a Python worker holds a batch or two.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(operator: Callable) -> Callable:
-    """Have the session hand this operator's Python workers batches of ``BATCH_ROWS`` at most.  The
-    setting stays, since plans run after the operator has returned."""
+    """Have the session hand this operator's Python workers batches of ``BATCH_ROWS`` and
+    ``BATCH_BYTES`` at most.  The settings are only ever lowered, and stay, since plans run after
+    the operator has returned."""
 
     @wraps(operator)
     def run(df: DataFrame, *args, **kwargs):
-        conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-            conf.set(name, str(BATCH_ROWS))
+        conf = df.sparkSession.conf
+        for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+            if not 0 < int(conf.get(name).rstrip("b")) <= most:
+                conf.set(name, str(most))
         return operator(df, *args, **kwargs)
 
     return run
 
 
+#: Tasks that read written files back at most: beyond it each takes more of them, one after the other.
+READ_TASKS = 20_000
+
+
+def read_tasks(total: int, each: int) -> int:
+    """How many tasks read ``total`` bytes, about ``each`` at a time."""
+    return min(READ_TASKS, 1 + total // each)
+
+
 _kept: list[Callable[[], None]] = []
 
 

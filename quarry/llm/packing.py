@@ -39,11 +39,11 @@ def dot_product_pack(tokens: np.ndarray, loss: np.ndarray, max_tokens: int, max_
     waiting: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     for i in range(len(tokens) - 1, -1, -1):
         waiting[int(tokens[i]), int(loss[i])].append((i, 0))
-    kinds = np.array(sorted(waiting, reverse=True), np.int64).reshape(-1, 2)
-    at = {tuple(k): j for j, k in enumerate(kinds.tolist())}
-    count = np.array([len(waiting[tuple(k)]) for k in kinds.tolist()], np.int64)
-    limits = np.array([max_tokens, max_loss], np.float64)
-    if not cut and len(kinds) and ((kinds[:, 0] > max_tokens) | (kinds[:, 1] > max_loss)).any():
+    kinds = np.array([(t, y, 1) for t, y in sorted(waiting, reverse=True)], np.int64).reshape(-1, 3)
+    at = {(t, y): j for j, (t, y, _) in enumerate(kinds.tolist())}
+    count = np.array([len(waiting[t, y]) for t, y, _ in kinds.tolist()], np.int64)
+    limits = np.array([max_tokens, max_loss, max_segments], np.float64)
+    if not cut and len(kinds) and (kinds > limits).any():
         raise ValueError("an example is larger than a sequence")
     # A dimension weighs as much as the examples ask of it.
     weight = (kinds * count[:, None]).sum(0) / limits / max(1, count.sum()) if len(kinds) else limits
@@ -51,24 +51,23 @@ def dot_product_pack(tokens: np.ndarray, loss: np.ndarray, max_tokens: int, max_
     bins: list[list[tuple[int, int, int]]] = []
     left = int(count.sum())
     while left:
-        room, segments, now = np.array([max_tokens, max_loss]), max_segments, []
-        while left and segments and room[0]:
-            fits = (count > 0) & (kinds[:, 0] <= room[0]) & (kinds[:, 1] <= room[1])
+        room, now = np.array([max_tokens, max_loss, max_segments]), []
+        while left and room[2] and room[0]:
+            fits = (count > 0) & (kinds <= room).all(1)
             score = demand @ (room / limits)
             if fits.any():
                 j = int(np.argmax(np.where(fits, score, -1.0)))
-                i, start = waiting[tuple(kinds[j].tolist())].pop()
+                t, share, _ = kinds[j].tolist()
+                i, start = waiting[t, share].pop()
                 count[j] -= 1
                 left -= 1
-                t, share = kinds[j].tolist()
                 now.append((i, start, t))
-                room -= (t, share)
-                segments -= 1
+                room -= kinds[j]
                 continue
             if not cut or not room[1]:
                 break
             j = int(np.argmax(np.where(count > 0, score, -1.0)))
-            t, share = kinds[j].tolist()
+            t, share, _ = kinds[j].tolist()
             take = min(int(room[0]), t - 1, int(room[1]) * t // share if share else t)
             if take < 1:
                 break
@@ -76,13 +75,12 @@ def dot_product_pack(tokens: np.ndarray, loss: np.ndarray, max_tokens: int, max_
             count[j] -= 1
             used = min(int(room[1]), -(-share * take // t))
             now.append((i, start, take))
-            room -= (take, used)
-            segments -= 1
+            room -= (take, used, 1)
             rest = (t - take, share - used)
             if rest not in at:
                 at[rest] = len(kinds)
-                kinds = np.vstack([kinds, rest])
-                demand = np.vstack([demand, np.array(rest) / limits * weight])
+                kinds = np.vstack([kinds, (*rest, 1)])
+                demand = np.vstack([demand, kinds[-1] / limits * weight])
                 count = np.append(count, 0)
             waiting[rest].append((i, start + take))
             count[at[rest]] += 1

@@ -2,7 +2,7 @@
 
 A record is: payload length (u64), masked CRC-32 of those eight bytes (u32), payload,
 masked CRC-32 of the payload (u32), all little-endian.  The payload is one byte with the
-id width (2 or 4) and the ids.  The index (Parquet) has one row per record: file, offset,
+id width (2 or 4, the least that holds every id of the vocabulary) and the ids.  The index (Parquet) has one row per record: file, offset,
 length, document, number of ids and the ids before it, so records can be read in any order.
 
 Null texts are empty texts and give the end id alone.  Repeated and null doc_ids are
@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, utf8
+from .common import bounded_batches, fresh_path, read_tasks, utf8
 from .tokens import encoder
 
 _MASK = 0xA282EAD8
+#: Bytes of a file that one task reads together.
+STRIPE = 8 << 20
 INDEX = "part int, file string, doc_id long, offset long, length long, n_tokens long, local_start long"
 
 
@@ -38,8 +40,14 @@ def masked(data: bytes) -> int:
 
 
 def frame(ids: bytes, width: int) -> bytes:
-    """One record from little-endian unsigned 32-bit ids."""
-    body = ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    """One record from little-endian unsigned 32-bit ids; raises if the width can't hold one."""
+    if width == 4:
+        body = ids
+    else:
+        wide = np.frombuffer(ids, "<u4")
+        if len(wide) and wide.max() > 0xFFFF:
+            raise ValueError("an id needs more than two bytes")
+        body = wide.astype("<u2").tobytes()
     payload = bytes([width]) + body
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
@@ -55,9 +63,10 @@ def unframe(record: bytes) -> bytes:
 
 
 @bounded_batches
-def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int | None = 2, id_width: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int | None = 2, id_width: int | None = None) -> DataFrame:
     """Encode ``docs(doc_id, text)`` into record files under ``out_dir`` in ascending doc_id
     order; returns the index (already written), with ``start``: the ids of all documents before.
+    ``id_width`` None: by the size of the vocabulary.
 
     Each task writes a file of a name of its own; only files that the index names count, so a
     task that runs twice does no harm.
@@ -67,6 +76,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, place, start = TaskContext.get().partitionId(), None, 0, 0
         enc = encoder(tokenizer_path)
+        width = id_width or (2 if max(enc.size, (end_id or 0) + 1) <= 1 << 16 else 4)
         store, root = pafs.FileSystem.from_uri(out_dir)
         name = f"tokens-{part:06d}-{uuid.uuid4().hex}.rec"
         try:
@@ -74,7 +84,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
                 rows: list[tuple] = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
                     ids = enc.encode(text, end)
-                    record = frame(ids, id_width)
+                    record = frame(ids, width)
                     if out is None:
                         store.create_dir(root, recursive=True)
                         out = store.open_output_stream(f"{root}/{name}")
@@ -104,6 +114,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
 def read_records(index: DataFrame, out_dir: str, gap: int = 1 << 16, most: int = 8 << 20) -> DataFrame:
     """Read the indexed records back: adjacent ones in one ranged read of at most ``most`` bytes
     (a longer record is read alone).  Adds ``ids`` (binary, little-endian unsigned 32-bit)."""
+    # As many tasks as there are stripes of records to read: the index itself is too small to tell.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    index = index.repartition(read_tasks(total, STRIPE), "file", F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("file", "offset")
     names = index.columns
     at = {c: i for i, c in enumerate(names)}
 

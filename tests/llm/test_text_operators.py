@@ -196,6 +196,22 @@ def test_encoder_keeps_case_that_matters(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_beside_the_library(tokenizer):
+    """Random texts of letters, composed or not, signs and spaces of several kinds."""
+    rng = np.random.default_rng(12)
+    alphabet = list("aAbBzZéÉöÖßÿŸĀāİıŉſŒœ×÷ΣσςǅK.'.,!<|>*_-`~@[0192 \n\t\x85\u0301\u0307\u200b日本")
+    for _ in range(4000):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 14)))
+        assert np.frombuffer(encoder(TOKENIZER).encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_vocabularies_encode_whole_texts():
+    path = TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    other = encoder(path)
+    text = "Two  spaces,\n\nlines <|endoftext|> and Words"
+    assert not other.wordwise and np.frombuffer(other.encode(text.encode()), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_records(spark, tokenizer):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in tokenfile.token_digest(docs, TOKENIZER).collect()}
@@ -210,6 +226,8 @@ def test_records_are_checked():
     ids = np.array([1, 2, 70000], "<u4").tobytes()
     record = tokenfile.frame(ids, 4)
     assert tokenfile.unframe(record) == ids and tokenfile.unframe(tokenfile.frame(ids[:8], 2)) == ids[:8]
+    with pytest.raises(ValueError):
+        tokenfile.frame(ids, 2)
     for k in (0, 9, 13, len(record) - 1):
         bad = bytearray(record)
         bad[k] ^= 1
@@ -281,6 +299,14 @@ def test_vector_packing_keeps_limits(seed):
         packing.dot_product_pack(np.array([101]), np.array([0]), 100, 6, 60)
 
 
+def test_limits_that_bind_decide():
+    """With loss scarce, heavy and light examples go together; by tokens alone they would not."""
+    tokens, loss = np.array([50] * 8), np.array([40] * 4 + [0] * 4)
+    bins = packing.dot_product_pack(tokens, loss, 100, 256, 40)
+    assert len(bins) == 4 and all(sum(loss[i] for i, _, _ in b) == 40 for b in bins)
+    assert len(packing.dot_product_pack(tokens, loss, 1000, 2, 1000)) == 4
+
+
 def test_pack_examples(spark):
     df = spark.createDataFrame([(i, 10 + i % 50, i % 7, "x") for i in range(500)] + [(None, None, None, None)], "example_id long, n_tokens long, n_loss long, sequence_id string")
     out = packing.pack_examples(df, 64, 4, 12).collect()
