@@ -1,9 +1,9 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
 Folding lower-cases, replaces homoglyphs and (inside words) digits and signs that stand
-for letters, and turns every other sign into a space.  Lexicon entries are word beginnings
-(`` begin``) or whole words (`` word ``) with weights; the heaviest entry counts at each word.
-Matches inside an exception phrase don't count.  The score is a logistic function of the
+for letters, and turns every other sign into a space.  Lexicon entries are stems (`` stem``: by
+definition the first 4 to 8 letters of words) or whole words (`` word ``) with weights; the heaviest
+entry counts at each word.  Matches inside an exception phrase (two words) don't count.  The score is a logistic function of the
 sum of weights and of that sum divided by length.
 
 Weights, exceptions and the logistic function are learned from at most about
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, other_work, saved
+from .common import bounded_batches, other_work, saved, scratch
 
 # Letters of other scripts that look like Latin ones, and what they stand for.
 HOMOGLYPHS = {
@@ -91,10 +91,27 @@ def matches(folded: str, automaton) -> dict[int, float]:
                 spared.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-    for a, b in spared:
-        for at in [x for x in found if a <= x < b]:
-            del found[at]
-    return found
+    if not spared:
+        return found
+    # Both in order of their starts: one sweep, with the furthest end of the exceptions begun so far.
+    spared.sort()
+    left, k, reach = {}, 0, -1
+    for at in sorted(found):
+        while k < len(spared) and spared[k][0] <= at:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if at >= reach:
+            left[at] = found[at]
+    return left
+
+
+def matched_phrases(folded: str, found: Iterable[int]) -> set[str]:
+    """The matched words of a text, each with the word before and with the word after it."""
+    words = [(m.start() - 1, m[0]) for m in re.finditer(r"\S+", folded)]
+    places, out = {at: k for k, (at, _) in enumerate(words)}, set()
+    for k in [places[at] for at in found if at in places]:
+        out.update(f"{words[i][1]} {words[i + 1][1]}" for i in (k - 1, k) if 0 <= i < len(words) - 1)
+    return out
 
 
 def inputs(total: float, words: int) -> tuple[float, float]:
@@ -123,21 +140,23 @@ def word_parts(word: str) -> Iterator[str]:
 
 
 @bounded_batches
-def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, max_fit_rows: int = 12_000, min_support: int = 4, max_entries: int = 20_000) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = None, max_fit_rows: int = 12_000, min_support: int = 4) -> Lexicon:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Three quarters of the sample give the entries (those whose log odds stay high at two
     standard errors), the rest exceptions and the logistic function.  ``max_fit_rows`` bounds
-    the sample and ``max_entries`` the entries that reach the driver."""
-    seed = seed or Lexicon()
+    the sample, and with ``min_support`` documents to an entry, what reaches the driver."""
+    with scratch(docs.sparkSession):
+        return _learn(docs, labels, seed or Lexicon(), max_fit_rows, min_support)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, seed: Lexicon, max_fit_rows: int, min_support: int) -> Lexicon:
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = known.count()
     share = min(1.0, max_fit_rows / max(1, n))
     # Chosen by a hash of the id: the same rows in every run, in proportion from every part.
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("calibrates", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)) == 0)
-    from .common import saved
-
     sample = saved(sample, "toxicity-sample")
     sizes = {int(r["y"]): r["n"] for r in sample.filter("not calibrates").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -163,7 +182,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = Non
     counted = sample.filter("not calibrates").select("text", "y").mapInArrow(parts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
     odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
     sure = odds - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    rows = counted.filter(F.col("a") >= min_support).select("entry", odds.alias("w"), sure.alias("sure")).filter("sure > 1.4").orderBy(F.desc("sure"), "entry").limit(max_entries).collect()
+    rows = counted.filter(F.col("a") >= min_support).select("entry", odds.alias("w"), sure.alias("sure")).filter("sure > 1.4").collect()
     weights = dict(seed.weights)
     learned = {r["entry"]: r["w"] for r in rows}
     for entry, w in sorted(learned.items(), key=lambda x: (len(x[0]), x[0])):
@@ -180,17 +199,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, seed: Lexicon | None = Non
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 folded = fold(text)
                 found = matches(folded, automaton)
-                phrases = set()
-                for at in list(found)[:100]:  # phrases proposed from a document, not its score
-                    after = folded[at : at + 200].split()
-                    before = folded[max(0, at - 100) : at].split()
-                    phrases.update([" ".join(after[:2])] * (len(after) > 1) + [" ".join(before[-1:] + after[:1])] * bool(before))
-                rows.append((y, sum(found.values()), len(folded.split()), sorted(phrases)))
+                rows.append((y, sum(found.values()), len(folded.split()), sorted(matched_phrases(folded, found))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string())), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()))], names=["y", "total", "words", "phrases"])
 
     tried = saved(sample.filter("calibrates").select("text", "y").mapInArrow(calibrate, "y long, total double, words long, phrases array<string>"), "toxicity-calibration")
     phrases = tried.select("y", F.explode("phrases").alias("p")).groupBy("p").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    lexicon.exceptions |= {r["p"] for r in phrases.filter("a = 0 and n >= 5").orderBy(F.desc("n"), "p").limit(max_entries).collect()}
+    lexicon.exceptions |= {r["p"] for r in phrases.filter("a = 0 and n >= 5").collect()}
     points = tried.select("y", "total", "words").collect()  # at most about a quarter of max_fit_rows
     y = np.array([r["y"] for r in points], float)
     if 0 < y.sum() < len(y):

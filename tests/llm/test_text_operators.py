@@ -31,6 +31,34 @@ def test_matching_and_exceptions():
     assert not toxicity.matches(" ", toxicity.Lexicon().automaton())
 
 
+def test_exceptions_beside_a_slow_search():
+    rng = np.random.default_rng(5)
+    words = ["ab", "cd", "ef", "gh"]
+    lexicon = toxicity.Lexicon({" ab ": 1.0, " cd ": 2.0, " ef": 3.0}, {"ab cd", "cd ef", "gh ab"})
+    a = lexicon.automaton()
+    for _ in range(300):
+        said = [words[i] for i in rng.integers(0, 4, rng.integers(0, 12))]
+        spared = {k + d for k in range(len(said) - 1) if f"{said[k]} {said[k + 1]}" in lexicon.exceptions for d in (0, 1)}
+        want = {3 * k: {"ab": 1.0, "cd": 2.0, "ef": 3.0}[w] for k, w in enumerate(said) if w != "gh" and k not in spared}
+        folded = f" {' '.join(said)} "
+        assert toxicity.matches(folded, a) == want, said
+        bigrams = {f"{said[i]} {said[i + 1]}" for i in range(len(said) - 1) if 3 * i in want or 3 * i + 3 in want}
+        assert toxicity.matched_phrases(folded, want) == bigrams
+
+
+def test_many_exceptions_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({" trash ": 3.0}, {"trash can"})
+    a, took = lexicon.automaton(), []
+    for n in (50_000, 200_000):
+        folded = toxicity.fold("trash can and trash " * n)
+        began = time.process_time()
+        assert len(toxicity.matches(folded, a)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_scores_find_held_out_labels(spark):
     folder = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
