@@ -108,46 +108,126 @@ def test_chi2():
     assert math.isclose(outliers.chi2_quantile(0.95, 4), 9.487729, rel_tol=1e-5)
 
 
-def slow_mcd(x, h=0.75, steps=6, outer=0.975):
-    """The same estimate on all rows of a group, without bins: medians, then steps on the nearest."""
-    dim = x.shape[1]
-    scale = h / outliers._chi2_cdf(outliers.chi2_quantile(h, dim), dim + 2)
-    mean = np.median(x, 0)
-    spread = np.maximum(np.median(np.abs(x - mean), 0) * 1.4826, np.sqrt(outliers.FLOOR))
-    inverse = np.diag(1 / spread**2)
-
-    def fit(rows, factor):
+def slow_mcd(x, h=0.75, outer=0.975, trials=60):
+    """Another minimum covariance determinant: random starts of few rows, steps on exactly the nearest
+    rows until the determinant stops falling, the least of all, reweighted.  Distances of all rows."""
+    rng = np.random.default_rng(1)
+    n, dim = x.shape
+    size = math.ceil(h * n)
+    floor = np.sqrt(outliers.FLOOR)
+
+    def scatter(rows, factor):
         cov = np.cov(rows.T, bias=True) * factor
-        cov[np.diag_indices(dim)] = np.maximum(np.diag(cov), outliers.FLOOR)
-        root = np.sqrt(np.diag(cov))
-        corr = np.clip(cov / np.outer(root, root), -1, 1) * 0.95
-        np.fill_diagonal(corr, 1)
-        return rows.mean(0), np.linalg.inv(corr) / np.outer(root, root)
-
-    d2 = lambda: np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-    for _ in range(steps):
-        d = d2()
-        mean, inverse = fit(x[d <= np.sort(d)[math.ceil(h * len(x)) - 1]], scale)
-    mean, inverse = fit(x[d2() <= outliers.chi2_quantile(outer, dim)], outer / outliers._chi2_cdf(outliers.chi2_quantile(outer, dim), dim + 2))
-    return mean, inverse
-
-
-def test_robust_estimate(spark):
-    """A fifth of the rows lie far off: they don't move the estimate, and are far from it."""
-    rng = np.random.default_rng(3)
-    clean = rng.normal([1.6, 0.1, 0.3, 0.1], [0.2, 0.1, 0.3, 0.15], (800, 4))
-    odd = rng.normal([3, 0.9, 0.3, 0.1], 0.05, (200, 4))
-    x = np.vstack([clean, odd])
-    df = spark.createDataFrame([("en", None, *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+        root = np.maximum(np.sqrt(np.diag(cov)), floor)
+        corr = cov / np.outer(root, root)
+        corr[np.diag_indices(dim)] = 1
+        for share in np.linspace(1, 0, 2001):  # the first share of the correlations that is conditioned well
+            tried = share * corr + (1 - share) * np.eye(dim)
+            if np.linalg.cond(tried) <= outliers.CONDITION * (1 + 1e-9):
+                break
+        return rows.mean(0), tried * np.outer(root, root)
+
+    def distances(mean, cov):
+        away = x - mean
+        return np.einsum("ij,ij->i", away @ np.linalg.inv(cov), away)
+
+    def factor(share):
+        q = outliers.chi2_quantile(share, dim)
+        return share / (1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8))  # chi-square of dim + 2 = 6
+
+    best = None
+    for _ in range(trials):
+        mean, cov = scatter(x[rng.choice(n, dim + 1, replace=False)], 1.0)
+        last = math.inf
+        while True:
+            mean, cov = scatter(x[np.argsort(distances(mean, cov), kind="stable")[:size]], factor(h))
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+        if best is None or last < best[0]:
+            best = last, mean, cov
+    near = distances(*best[1:]) <= outliers.chi2_quantile(outer, dim)
+    return distances(*scatter(x[near], factor(outer))), int(near.sum()), best[0]
+
+
+def table_of(spark, x, source="s"):
+    return spark.createDataFrame([("en", source, *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+
+
+def mixture(n, odd, seed=3):
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(0, 1, (4, 4)) * 0.3 + np.eye(4)
+    clean = rng.normal(0, 1, (n, 4)) @ mix * [0.2, 0.1, 0.3, 0.15] + [1.6, 0.4, 0.3, 0.1]
+    return np.vstack([clean, rng.normal([3, 1.9, 0.3, 0.1], 0.02, (odd, 4))])
+
+
+@pytest.mark.parametrize(("n", "odd"), [(800, 200), (90, 20), (24, 4), (400, 0)])
+def test_robust_estimate(spark, n, odd):
+    """Rows far off, up to a fifth and close together, don't move the estimate, and are far from it."""
+    x = mixture(n, odd)
+    df = table_of(spark, x)
     fitted = outliers.concentrate(df)
-    row = fitted.collect()[0]
-    mean, inverse = slow_mcd(x)
-    assert np.allclose([row[f"m{i}"] for i in range(4)], mean, atol=0.03)
-    got = [r["d"] for r in outliers.matched(df, fitted).select(outliers.squared_distance().alias("d")).collect()]
-    away = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-    assert np.corrcoef(np.log(got), np.log(away))[0, 1] > 0.98
-    limit = outliers.chi2_quantile(1 - 1e-6, 4)
-    assert min(sorted(got)[-200:]) > limit > np.quantile(got, 0.79)
+    got = np.array([r["d"] for r in outliers.matched(df, fitted).select(outliers.squared_distance().alias("d")).collect()])
+    away, used, _ = slow_mcd(x)
+    assert abs(fitted.first()["used"] - used) <= 1 + n // 100
+    limit = outliers.outside_limit(used, 1 - 1e-6)
+    assert ((got > limit) == (away > limit)).mean() >= 1 - 1 / n
+    assert np.corrcoef(np.log(got), np.log(away))[0, 1] > 0.99 and (got[n:] > limit).all()
+
+
+def test_start_of_smallest_determinant_wins():
+    """Where one start ends in a worse subset, another one's estimate is taken."""
+    x = mixture(150, 40, seed=8)
+    held = lambda values, d2, also=None: outliers._held_sums(values, d2, also)
+    best = slow_mcd(x, trials=200)[2]
+    mid, spread = np.median(x, 0), np.maximum(np.median(np.abs(x - np.median(x, 0)), 0) * 1.4826, 0.01)
+    z = (x - mid) / spread
+    length = np.sqrt((z**2).sum(1))
+    ends = []
+    for fit in outliers.starts(held(z, length**2, {"t": np.tanh(z), "u": z / length[:, None]}), mid, spread):
+        steps = [fit["det"]]
+        while (after := outliers.nearest_estimate(held(x, outliers._held_distance(x, fit)), 0.75))["det"] < steps[-1] - outliers.GAIN:
+            fit = after
+            steps.append(fit["det"])
+        assert len(steps) > 1 and steps == sorted(steps, reverse=True)
+        ends.append(steps[-1])
+    assert len(ends) == len(outliers.STARTS) and min(ends) <= best + 0.05
+
+
+def test_groups_beyond_a_task_take_the_same_steps(spark):
+    df = table_of(spark, mixture(300, 60), "a").union(table_of(spark, mixture(40, 5, seed=4), None)).union(table_of(spark, np.ones((12, 4)), "same"))
+    whole, split = ({r["source"]: r.asDict() for r in outliers.concentrate(df, in_task=n).collect()} for n in (1000, 0))
+    assert whole.keys() == split.keys() == {"a", None, "same"}
+    for source, row in whole.items():
+        for k, v in row.items():
+            if k not in ("lang", "source", "start", "done"):
+                assert math.isclose(v, split[source][k], rel_tol=1e-6, abs_tol=1e-6), (source, k)
+
+
+def test_limit_is_the_chi_square_quantile_for_many_rows():
+    assert math.isclose(outliers.outside_limit(10**8, 0.99), outliers.chi2_quantile(0.99, 4), rel_tol=1e-5)
+    assert outliers.outside_limit(20, 1 - 1e-6) > 2 * outliers.outside_limit(200, 1 - 1e-6)
+    # The 0.95 quantile of F(4, 10) is 3.478.
+    assert math.isclose(outliers.outside_limit(14, 0.95), 15 * 13 * 4 / (14 * 10) * 3.47805, rel_tol=1e-4)
+
+
+def test_base_counts_in_sql(spark):
+    """The base counts of whole texts, said in SQL."""
+    from compare import duck
+
+    words = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+    sql = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {words} AS w FROM documents),
+     g AS (SELECT doc_id, k, w[k:k + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+     m AS (SELECT doc_id, unnest([k, k + 1, k + 2]) AS i FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+     r AS (SELECT doc_id, count(DISTINCT i) AS n FROM m GROUP BY doc_id),
+     l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, len(w), length(array_to_string(w, '')), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), coalesce(l.n, 0), coalesce(r.n, 0)
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) ORDER BY doc_id"""
+    want = duck(SF).execute(sql).fetchall()
+    got = outliers.quality_verdicts(spark.read.parquet(f"{SF}/documents.parquet")).orderBy("doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    assert [tuple(r) for r in got] == want
 
 
 def ordinary(n, seed=6):
