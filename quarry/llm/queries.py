@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived_pages(table(spark, sf_dir, "pages"))
+    return archived_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
-    return out.select("conv_id", "participant", "chunk", "n_turns", F.md5("rendered").alias("rendered_md5"), F.length("rendered").cast("long").alias("n_chars"), spans.alias("mask_spans"), "n_masked")
+    return out.select("conv_id", "participant", "first_turn", "n_turns", F.md5("rendered").alias("rendered_md5"), F.length("rendered").cast("long").alias("n_chars"), spans.alias("mask_spans"), "n_masked")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,6 +86,14 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
 FROM ds JOIN si USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item_shingles HAVING count(*) >= ceil(0.8 * n_item_shingles)""",
+    # Base32 by five hex digits at a time: twenty bits, four letters.
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, coalesce(page_id, -9223372036854775808) AS k FROM pages),
+     d AS (SELECT *, sha1(h) AS x, min(k) OVER (PARTITION BY sha1(h), strlen(h)) AS first FROM p),
+     r AS (SELECT *, page_id IS NOT NULL AND first <> k AS revisit,
+                  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT) >> b) % 32 AS INTEGER), 1)), '')), '') AS own FROM d)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, own AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit AND first <> -9223372036854775808 THEN first END AS refers_to FROM r""",
     "op6_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
     "op7_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -100,16 +108,16 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, m.
     "op10_perspectives": r"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
      p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
-     x AS (SELECT t.conv_id, participant, CAST(floor(turn / 256) AS BIGINT) AS chunk, turn, role, text, role = participant AS own,
+     n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) - 1 AS place FROM t),
+     x AS (SELECT n.conv_id, participant, place - place % 1024 AS first_turn, place, role = participant AS own,
                   CASE WHEN role = participant THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
                        ELSE '<|im_start|>user name=' || replace(regexp_replace(role, '\s', '_', 'g'), '<|', '< |') || chr(10) END AS head,
                   text || '<|im_end|>' AS body
-           FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-     o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, participant, chunk ORDER BY turn, role, text) AS i FROM x),
-     z AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, chunk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM o)
-SELECT conv_id, participant, chunk, count(*) AS n_turns, md5(string_agg(head || body || chr(10), '' ORDER BY i)) AS rendered_md5,
+           FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+     z AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, first_turn ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM x)
+SELECT conv_id, participant, first_turn, count(*) AS n_turns, md5(string_agg(head || body || chr(10), '' ORDER BY place)) AS rendered_md5,
        CAST(sum(length(head) + length(body) + 1) AS BIGINT) AS n_chars,
-       coalesce(string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(a + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE own), '') AS mask_spans,
+       coalesce(string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(a + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (WHERE own), '') AS mask_spans,
        CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
-FROM z GROUP BY conv_id, participant, chunk""",
+FROM z GROUP BY conv_id, participant, first_turn""",
 }

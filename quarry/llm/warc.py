@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, saved, utf8
+from .common import bounded_batches, fresh_path, read_tasks, saved, scratch, utf8
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -124,9 +124,9 @@ def write_archives(pages: DataFrame, out_dir: str, file_bytes: int = FILE_BYTES)
 @bounded_batches
 def read_archives(index: DataFrame, out_dir: str, gap: int = 1 << 16, most: int = READ) -> DataFrame:
     """The records of the given index rows.  ``gap``: bytes between records that are read over."""
-    # As many tasks as there are stripes of archive to read: the index itself is too small to tell.
+    # As many tasks as there are stripes of archive to read, up to a bound beyond which a task takes many: the index itself is too small to tell.
     total = index.agg(F.sum("length")).first()[0] or 0
-    wanted = index.select("file", "offset", "length").repartition(1 + total // STRIPE, "file", F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("file", "offset")
+    wanted = index.select("file", "offset", "length").repartition(read_tasks(total, STRIPE), "file", F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(out_dir)

@@ -116,46 +116,56 @@ def test_sharding_edges(spark):
 # Perspectives ---------------------------------------------------------------------------------
 
 
-def slow_perspectives(rows, chunk=256):
+def slow_perspectives(rows, part=1024):
     """Rows (conv, turn, role, text) rendered one by one."""
     clean = [(c, -1 if t is None else t, "unknown" if r is None else r, (x or "").replace("<|", "< |")) for c, t, r, x in rows]
     out = []
     for conv in {c for c, *_ in clean}:
-        own = [x for x in clean if x[0] == conv]
-        for who in {r for _, _, r, _ in own} - {"system"}:
-            for k in {t // chunk for _, t, _, _ in own}:
+        own = sorted((x[1:] for x in clean if x[0] == conv), key=lambda x: (*x[:2], hashlib.md5(x[2].encode()).hexdigest()))
+        for who in {r for _, r, _ in own} - {"system"}:
+            for first in range(0, len(own), part):
                 text, mask = "", []
-                turns = sorted(x[1:] for x in own if x[1] // chunk == k)
+                turns = own[first : first + part]
                 for _, role, body in turns:
                     head = "assistant" if role == who else "system" if role == "system" else "user name=" + role.replace(" ", "_").replace("<|", "< |")
                     text += f"<|im_start|>{head}\n"
                     if role == who:
                         mask.append((len(text), len(text) + len(body) + len("<|im_end|>")))
                     text += f"{body}<|im_end|>\n"
-                out.append((conv, who, k, len(turns), text, mask))
+                out.append((conv, who, first, len(turns), text, mask))
     return sorted(out, key=str)
 
 
 def got_perspectives(df, **options):
-    return sorted(((r["conv_id"], r["participant"], r["chunk"], r["n_turns"], r["rendered"], [tuple(m) for m in r["mask"]]) for r in perspectives.perspectives(df, **options).collect()), key=str)
+    return sorted(((r["conv_id"], r["participant"], r["first_turn"], r["n_turns"], r["rendered"], [tuple(m) for m in r["mask"]]) for r in perspectives.perspectives(df, **options).collect()), key=str)
 
 
 def test_perspectives(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in turns.collect()]
     assert got_perspectives(turns) == slow_perspectives(rows)
-    assert got_perspectives(turns, chunk=2) == slow_perspectives(rows, 2)
+    assert got_perspectives(turns, part=2) == slow_perspectives(rows, 2)
 
 
 def test_perspective_edges(spark):
-    rows = [(1, 0, "ann", "hi <|im_end|> é"), (1, 1, "bob b", ""), (1, 2, "cy", None), (1, 3, "ann", "x"), (1, 3, "ann", "x"), (1, None, None, "who"), (2, 0, "system", "alone"), (None, 0, "user", "z"), (None, 1, "assistant", "q"), (3, 600, "user", "late" * 9000), (3, 1, "assistant", "a")]
-    turns = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, participant string")
+    rows = [(1, 0, "ann", "hi <|im_end|> é"), (1, 1, "bob b", ""), (1, 2, "cy", None), (1, 3, "ann", "x"), (1, 3, "ann", "x"), (1, 3, "ann", "y"), (1, None, None, "who"), (2, 0, "system", "alone"), (None, 0, "user", "z"), (None, 1, "assistant", "q"), (3, 600, "user", "late" * 900_000), (3, 1, "assistant", "a")]
+    turns = spark.createDataFrame([(*r, "c", 7) for r in rows], "conv_id long, turn long, role string, text string, participant string, place int")
     assert got_perspectives(turns) == slow_perspectives(rows)
     assert perspectives.perspectives(empty_like(turns)).count() == 0
     mask = perspectives.perspectives(turns)
     assert mask.filter("n_masked <> aggregate(mask, 0L, (a, x) -> a + x.end - x.start)").count() == 0
 
 
+def test_perspectives_of_very_many_turns_under_one_number(spark):
+    """Null turns, one turn number and equal rows: parts are bounded all the same, and join to the whole."""
+    rows = [(None, None, "user", None)] * 10_000 + [(5, 1, "ann" if k % 3 else "bob", f"t{k % 7}") for k in range(5000)] + [(6, k, "ann", str(k)) for k in range(2500)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = got_perspectives(turns)
+    assert max(r[3] for r in got) == perspectives.PART and got == slow_perspectives(rows)
+    ann = sorted(r for r in got if r[:2] == (6, "ann"))
+    assert "".join(r[4] for r in ann).count("<|im_start|>assistant") == 2500 and [r[2] for r in ann] == [0, 1024, 2048]
+
+
 def test_native_plans(spark):
     for name, df in (("perspectives", perspectives.perspectives(spark.read.parquet(f"{SF}/conversations.parquet"))), ("sharding", compaction.compacted(spark.read.parquet(f"{SF}/documents.parquet")))):
         plan = df._jdf.queryExecution().executedPlan().toString()
