@@ -3,9 +3,13 @@
 A table is a folder.  ``append`` writes arrivals as small immutable shards (Parquet files);
 ``compact`` merges shards of one size tier into files of the target size once a tier holds
 ``fanout`` of them; ``commit`` makes a list of shards the next version by renaming a manifest
-to its final name, which fails if another writer took that version first, who then has to
-start anew from the version that won.  Readers use the files that one manifest names, so
-they see whole versions only; files of failed tasks and lost races are named by none.
+to its final name, which fails if another writer took that version first.  The writer then starts
+anew from the version that won: an append adds its shards to that one, a merge whose shards are
+still there takes them out of it.  Readers use the files that one manifest names, so they see whole
+versions only; files of failed tasks and lost races are named by none.
+
+A writer announces its folder in ``writing`` before it writes and withdraws it after it has committed;
+``vacuum`` leaves announced folders alone, unless the announcement is older than ``lease`` seconds.
 
 The driver holds a manifest: one line per file, never per row.  Rows keep all their columns;
 columns that clash with the arrival column are refused.  Nulls, repeated rows and empty texts
@@ -16,6 +20,9 @@ from __future__ import annotations
 
 import json
 import math
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +38,10 @@ class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+class _Overtaken(RuntimeError):
+    """Another writer has merged the same shards."""
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -41,12 +52,14 @@ class ShardedTable:
     """``target``: bytes of a full shard; ``least``: bytes of the lowest tier; ``fanout``: shards of a
     tier that are merged, and the ratio of tiers."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, target: int = 128 << 20, least: int = 256 << 10, fanout: int = 4):
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, target: int = 128 << 20, least: int = 256 << 10, fanout: int = 4, lease: float = 7 * 86400):
+        self.lease = lease
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.target, self.least, self.fanout = target, least, fanout
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        for part in ("manifests", "writing"):
+            self._fs.mkdirs(self._path(f"{self.root}/{part}"))
 
     def version(self) -> int:
         """The last committed version; 0 is the empty table."""
@@ -89,14 +102,43 @@ class ShardedTable:
                 out.append(Shard(f.getPath().toString(), f.getLen()))
         return sorted(out, key=lambda s: s.path)
 
+    @contextmanager
+    def _announced(self, kind: str) -> Iterator[str]:
+        """A new data folder, safe from ``vacuum`` until the block ends."""
+        name = fresh_path(self.spark, kind).rpartition("/")[2]
+        note = self._path(f"{self.root}/writing/{name}")
+        self._fs.create(note, False).close()
+        try:
+            yield f"{self.root}/data/{name}"
+        finally:
+            self._fs.delete(note, False)
+
+    def _commit_on(self, change: Callable[[list[Shard]], list[Shard]]) -> int:
+        """Commit a change of the last version, anew from whichever version wins a race."""
+        while True:
+            base = self.version()
+            try:
+                return self.commit(base, change(self.shards(base)))
+            except Conflict:
+                continue
+
     def append(self, df: DataFrame, arrival: Column | None = None) -> int:
-        """Commit the rows as new shards; with ``arrival``, those of each value of it as their own,
-        in one pass and one version."""
-        base, folder = self.version(), f"{self.root}/data/{fresh_path(self.spark, 'a').rpartition('/')[2]}"
+        """Commit the rows as new shards; returns the version.  With ``arrival``, the rows of each value of
+        it are an arrival: written in one pass, then committed one by one, each with the merges that are due."""
         if ARRIVAL in df.columns:
             raise ValueError(f"a column is named {ARRIVAL}")
-        (df if arrival is None else df.withColumn(ARRIVAL, arrival)).write.partitionBy(*[ARRIVAL] * (arrival is not None)).parquet(folder)
-        return self.commit(base, self.shards(base) + self._written(folder))
+        with self._announced("a") as folder:
+            if arrival is None:
+                df.write.parquet(folder)
+                return self._commit_on(lambda shards: shards + self._written(folder))
+            df.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).parquet(folder)
+            arrivals: dict[str, list[Shard]] = {}
+            for shard in self._written(folder):
+                arrivals.setdefault(shard.path.rpartition("/")[0], []).append(shard)
+            for own in arrivals.values():
+                self._commit_on(lambda shards, own=own: shards + own)
+                self.compact()
+        return self.version()
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(1, size) / self.least, self.fanout))) if size > self.least else 0
@@ -111,20 +153,28 @@ class ShardedTable:
 
     def compact(self) -> int:
         """Merge until no tier is due; each merge is a version of its own."""
-        while True:
-            base = self.version()
-            shards = self.shards(base)
-            due = self.plan(shards)
-            if not due:
-                return base
-            own = due[0]
-            total = sum(s.bytes for s in own)
-            # Whole files go to tasks of about equal bytes, without a shuffle.
-            files = max(1, round(total / self.target)) if total >= self.target else max(1, min(len(own) // self.fanout, math.ceil(total / (self.least * self.fanout ** (self.tier(own[0].bytes) + 2)))))
-            folder = f"{self.root}/data/{fresh_path(self.spark, 'm').rpartition('/')[2]}"
+        while due := self.plan(self.shards()):
+            self._merge(due[0])
+        return self.version()
+
+    def _merge(self, own: list[Shard]) -> None:
+        """Merge shards and commit, unless another writer has merged some of them already."""
+        total = sum(s.bytes for s in own)
+        # Whole files go to tasks of about equal bytes, without a shuffle.
+        files = max(1, round(total / self.target)) if total >= self.target else max(1, min(len(own) // self.fanout, math.ceil(total / (self.least * self.fanout ** (self.tier(own[0].bytes) + 2)))))
+        gone = {s.path for s in own}
+
+        def change(shards: list[Shard]) -> list[Shard]:
+            if not gone <= {s.path for s in shards}:
+                raise _Overtaken
+            return [s for s in shards if s.path not in gone] + self._written(folder)
+
+        with self._announced("m") as folder:
             self.read_shards(own).coalesce(files).write.parquet(folder)
-            gone = {s.path for s in own}
-            self.commit(base, [s for s in shards if s.path not in gone] + self._written(folder))
+            try:
+                self._commit_on(change)
+            except _Overtaken:
+                self._fs.delete(self._path(folder), True)
 
     def read_shards(self, shards: list[Shard]) -> DataFrame:
         if not shards:
@@ -136,20 +186,39 @@ class ShardedTable:
         return self.read_shards(self.shards(version))
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete data files that none of the last ``keep`` versions names; returns how many."""
+        """Delete data files that none of the last ``keep`` versions names and no writer may still commit;
+        returns how many.  Readers of older versions must be done."""
+        # In this order: what is committed meanwhile is announced, or named by a version that is read after.
+        written = self._written(f"{self.root}/data") if self._fs.exists(self._path(f"{self.root}/data")) else []
+        notes = self._fs.listStatus(self._path(f"{self.root}/writing"))
+        oldest = (time.time() - self.lease) * 1000
+        busy = {n.getPath().getName() for n in notes if n.getModificationTime() >= oldest}
         last = self.version()
         named = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)}
-        gone = [s for s in self._written(f"{self.root}/data") if s.path not in named]
+        data = self._path(f"{self.root}/data").toUri().getPath()
+        folder = lambda s: self._path(s.path).toUri().getPath()[len(data) + 1 :].partition("/")[0]
+        gone = [s for s in written if s.path not in named and folder(s) not in busy]
         for s in gone:
             self._fs.delete(self._path(s.path), False)
         return len(gone)
 
 
 def compacted(docs: DataFrame, arrivals: int = 16, target: int = 128 << 20) -> DataFrame:
-    """Append the rows in ``arrivals`` arrivals (by a hash of doc_id and text), compact, and read the
-    last version: all columns, as stored."""
-    table = ShardedTable(docs.sparkSession, fresh_path(docs.sparkSession, "shards"), docs.schema, target)
+    """Append the rows in ``arrivals`` arrivals (by a hash of doc_id and text), one version after the
+    other with the merges that are due, and read the last version: all columns, as stored, with
+    ``shard`` (the place of the row's file in the manifest, null if it names no such file), ``tier``,
+    ``tier_shards`` (shards of that tier that a merge may still take) and ``version``."""
+    spark = docs.sparkSession
+    table = ShardedTable(spark, fresh_path(spark, "shards"), docs.schema, target)
     table.append(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)))
-    table.compact()
     table.vacuum()
-    return table.read()
+    version = table.version()
+    shards = table.shards(version)
+    tiers = [table.tier(s.bytes) if s.bytes < target * 0.75 else -1 for s in shards]
+    # A row per file of the manifest, which the driver holds anyhow.
+    place = f"{table.root.rpartition('/')[2]}/data/"
+    listed = json.dumps([{"_file": s.path.partition(place)[2], "shard": k, "tier": t, "tier_shards": tiers.count(t) if t >= 0 else 0, "version": version} for k, (s, t) in enumerate(zip(shards, tiers, strict=True))])
+    manifest = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<_file: string, shard: long, tier: int, tier_shards: int, version: long>>")))
+    rows = table.read(version)
+    name = F.substring_index("_metadata.file_path", place, -1) if shards else F.lit(None).cast("string")
+    return rows.select("*", name.alias("_name")).join(F.broadcast(manifest), F.col("_name") == F.col("_file"), "left").drop("_name", "_file")

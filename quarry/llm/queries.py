@@ -48,7 +48,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return compacted(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"))
+    # Rows come from files that the manifest names, in tiers that no merge is due for.
+    committed, settled = F.col("shard").isNotNull(), F.coalesce(F.col("tier_shards") < 4, F.lit(False))
+    return compacted(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"), committed.alias("committed"), settled.alias("settled"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h, coalesce(page_id, -922337203
                   array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT) >> b) % 32 AS INTEGER), 1)), '')), '') AS own FROM d)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, own AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN revisit AND first <> -9223372036854775808 THEN first END AS refers_to FROM r""",
-    "op6_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+    "op6_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5, TRUE AS committed, TRUE AS settled FROM documents",
     "op7_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
      s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END) AS s FROM w),
