@@ -1,11 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment, verified exactly.
 
-Items are partitioned by the size of their shingle set.  An item's sketch is the
-``n - ceil(t * n) + 1`` smallest hashes of its ``n`` shingles: a document that contains the
-share ``t`` of the item must contain one of them, however long the document is, so the search
-loses nothing (banded signatures would: a short item's Jaccard similarity to a long document
-is near 0).  Per size class, a document's own hashes above the class's largest sketch hash
-are never looked up.  Candidates are verified on the words of their shingles.
+Items are partitioned by the size of their shingle set.  An item's sketch is its
+``n - ceil(t * n) + 1`` smallest MinHash values of ``n`` shingles (a bottom-k signature): a document that
+contains the share ``t`` of the item must contain one of them, however long the document is, so the
+search loses nothing (banded signatures would: a short item's Jaccard similarity to a long document
+is near 0).  A document's own hashes above the largest sketch hash of a size partition are never
+looked up in it.  Candidates are verified on all their shingles.
+
+Up to ``RESIDENT_BYTES`` of benchmark text the sketches travel with the tasks.  Beyond it, the same
+sketches meet in a join by partition and hash, for which documents send only hashes that a filter of
+bounded size may know; candidates are verified by counting their common 64-bit shingle hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; items of fewer than ``size`` words are
 one shingle of all their words, items without words match nothing, null texts are empty.
@@ -19,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, other_work, saved, shingle_hashes, utf8, word_hashes
+from .common import bounded_batches, id_filter, other_work, saved, scratch, shingle_hashes, utf8, word_hashes
 
 #: Bytes of benchmark text up to which items travel with the tasks; beyond it, shuffle joins.
 RESIDENT_BYTES = 16 << 20
@@ -53,7 +57,7 @@ class Sketches:
             if len(words):
                 hashes = shingle_hashes(words, size)
                 key = min(size, len(words)), len(hashes).bit_length()
-                tables.setdefault(key, []).extend((h, k) for h in hashes[: len(hashes) - needed(len(hashes), threshold) + 1].tolist())
+                tables.setdefault(key, []).extend((h, k) for h in hashes[: _sketch_size(len(hashes), threshold)].tolist())
         self.tables = [(width, np.array([h for h, _ in rows], np.uint64), np.array([k for _, k in rows])) for (width, _), found in sorted(tables.items()) for rows in [sorted(found)]]
 
     def candidates(self, text: bytes | None) -> list[int]:
@@ -136,45 +140,83 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The same for a benchmark of any size: sketch hashes meet in a join.  Rows get numbers of
-    their own here, so repeated ids stay apart; both tables are written once for that."""
-    docs = saved(docs.withColumn("d", F.monotonically_increasing_id()), "decontam-docs")
-    items = saved(items.withColumn("i", F.monotonically_increasing_id()), "decontam-items")
+def _sketch_size(n: int, threshold: float) -> int:
+    return n - needed(n, threshold) + 1
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text in zip(batch.column("i").to_pylist(), utf8(batch.column("text")), strict=True):
-                words = word_hashes(text or b"")
-                hashes = shingle_hashes(words, size)
-                if len(words):
-                    out += [(i, min(size, len(words)), h) for h in hashes[: len(hashes) - needed(len(hashes), threshold) + 1].view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)], names=["i", "width", "hash"])
 
-    sketches = saved(items.select("i", "text").mapInArrow(sketch, "i long, width long, hash long"), "decontam-sketches")
-    widths = sorted(r["width"] for r in sketches.select("width").distinct().collect())  # at most ``size`` values
+def _hash_rows(i: list, width: list, class_: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """A row per hash, of the sizes given once for each array of hashes."""
+    n = [len(h) for h in hashes]
+    spread = [pa.array(np.repeat(np.array(c, np.int64), n)) for c in (i, width, class_)]
+    return pa.RecordBatch.from_arrays([*spread, pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["i", "width", "class", "hash"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, text in zip(batch.column("d").to_pylist(), utf8(batch.column("text")), strict=True):
-                words = word_hashes(text or b"")
-                for width in widths:
-                    if len(words) >= width:
-                        hashes = shingle_hashes(words, width).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), d)), pa.array(np.full(len(hashes), width, np.int64)), pa.array(hashes)], names=["d", "width", "hash"])
 
-    probes = docs.select("d", "text").mapInArrow(probe, "d long, width long, hash long")
-    pairs = probes.join(sketches, ["width", "hash"]).select("d", "i").distinct()
-    full = pairs.join(docs, "d").join(items.withColumnRenamed("text", "item_text"), "i").select("doc_id", "text", "item_id", "item_text")
+_HASHES = "i long, width long, class long, hash long"
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text, item, wanted in zip(utf8(batch.column("text")), batch.column("item_id").to_pylist(), utf8(batch.column("item_text")), strict=True):
-                own = shingle_set(wanted, size)
-                shared = len(own & shingle_set(text, len(next(iter(own)))))
-                found.append([(item, len(own), shared)] if shared >= needed(len(own), threshold) else [])
-            yield _rows(batch.column("doc_id").to_pylist(), found)
-
-    return full.mapInArrow(verify, FOUND)
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The same for a benchmark of any size.  Rows get numbers of their own here, so repeated ids stay
+    apart; both tables are written once for that."""
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        docs = saved(docs.withColumn("d", F.monotonically_increasing_id()), "decontam-docs")
+        items = saved(items.withColumn("i", F.monotonically_increasing_id()), "decontam-items")
+
+        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own: tuple[list, list, list, list] = [], [], [], []
+                for i, text in zip(batch.column("i").to_pylist(), utf8(batch.column("text")), strict=True):
+                    words = word_hashes(text or b"")
+                    if len(words):
+                        hashes = shingle_hashes(words, size)
+                        for column, value in zip(own, (i, min(size, len(words)), len(hashes).bit_length(), hashes.view(np.int64)), strict=True):
+                            column.append(value)
+                yield _hash_rows(*own)
+
+        wanted = saved(items.select("i", "text").mapInArrow(shingles, _HASHES), "decontam-shingles")
+        sizes = saved(wanted.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "decontam-sizes")
+        # An item's hashes in unsigned order, as its sketch takes the smallest.
+        unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
+        ranked = wanted.join(sizes, "i").withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(unsigned)))
+        sketches = saved(ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select(*[x.split()[0] for x in _HASHES.split(", ")]), "decontam-sketches")
+        # At most ``size`` widths and 64 sizes: the largest sketch hash of each partition.
+        top = {(r["width"], r["class"]): r["top"] & ((1 << 64) - 1) for r in sketches.groupBy("width", "class").agg(F.max(unsigned).alias("top")).select("width", "class", F.col("top").bitwiseXOR(F.lit(-(1 << 63))).alias("top")).collect()}
+        known = id_filter(sketches.select("hash"), "hash")
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own: tuple[list, list, list, list] = [], [], [], []
+                for d, text in zip(batch.column("d").to_pylist(), utf8(batch.column("text")), strict=True):
+                    words = word_hashes(text or b"")
+                    for width in {w for w, _ in top if w <= len(words)}:
+                        hashes = shingle_hashes(words, width)
+                        hashes = hashes[known.has(pa.array(hashes.view(np.int64)))]
+                        for (w, class_), most in top.items():
+                            low = hashes[: np.searchsorted(hashes, np.uint64(most), "right")]
+                            if w == width and len(low):
+                                for column, value in zip(own, (d, width, class_, low.view(np.int64)), strict=True):
+                                    column.append(value)
+                yield _hash_rows(*own)
+
+        probes = docs.select("d", "text").mapInArrow(probe, _HASHES).withColumnRenamed("i", "d")
+        pairs = saved(probes.join(sketches, ["width", "class", "hash"]).select("d", "i", "width").distinct(), "decontam-candidates")
+        every, asked = id_filter(wanted.select("hash"), "hash"), id_filter(pairs.select("d"), "d")
+
+        def of_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(asked.has(batch.column("d"))))
+                own: tuple[list, list, list, list] = [], [], [], []
+                for d, text in zip(batch.column("d").to_pylist(), utf8(batch.column("text")), strict=True):
+                    words = word_hashes(text or b"")
+                    for width in {w for w, _ in top if w <= len(words)}:
+                        hashes = shingle_hashes(words, width).view(np.int64)
+                        for column, value in zip(own, (d, width, 0, hashes[every.has(pa.array(hashes))]), strict=True):
+                            column.append(value)
+                yield _hash_rows(*own)
+
+        # Common shingles are counted where they meet, and only of candidates.
+        held = docs.select("d", "text").mapInArrow(of_candidates, _HASHES).withColumnRenamed("i", "d").drop("class")
+        common = held.join(wanted.drop("class"), ["width", "hash"]).groupBy("d", "i").agg(F.count(F.lit(1)).alias("n_shared"))
+        common = common.join(pairs.select("d", "i"), ["d", "i"], "left_semi").join(sizes, "i").filter(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
+        out = common.join(docs.select("d", "doc_id"), "d").join(items.select("i", "item_id"), "i")
+        return keep(saved(out.select("doc_id", "item_id", F.col("n").alias("n_item_shingles"), "n_shared"), "decontam-found"))

@@ -451,6 +451,18 @@ def test_decontamination(spark):
     assert {tuple(r) for r in decontam.contaminated(docs, items, resident_bytes=0).collect()} == want
 
 
+def test_candidates_come_by_sketches(spark, monkeypatch):
+    """On either path nothing is found but through sketches."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = {tuple(r) for r in decontam.contaminated(docs, items).collect()}
+    sketches = decontam.Sketches([(r["item_id"], r["text"].encode()) for r in items.collect()], 5, 0.8)
+    text = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    assert len({width for width, _, _ in sketches.tables}) >= 1 and len(sketches.tables) > 1
+    assert all(sketches.items[k][0] is not None for d, i, _, _ in want for k in sketches.candidates(text[d]))
+    monkeypatch.setattr(decontam.Sketches, "candidates", lambda *_: [])
+    assert sketches.verified(text[next(iter(want))[0]]) == []
+
+
 @pytest.mark.parametrize("resident", [0, 1 << 20])
 def test_decontamination_edges(spark, resident):
     words = [f"w{i}" for i in range(40)]
