@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_only, id_filter, saved
+from .common import held_only, id_filter, remove, saved, scratch
 from .decontam import clean_documents
 from .neardup import row_components
 from .packing import pack_documents
@@ -25,7 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
     docs = numbered(docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long")))
-    gone = saved(row_components(docs).filter("not kept").select(F.col("doc").alias("_gone")), "near-duplicates")
+    with scratch(spark) as keep:
+        gone = keep(saved(row_components(docs).filter("not kept").select(F.col("doc").alias("_gone")), "near-duplicates"))
     # Only documents that may have to go are shuffled.
     held = id_filter(gone, "_gone")
     unsure = held_only(docs, held, "doc").join(gone, F.col("doc") == F.col("_gone"), "left_anti")
@@ -34,10 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes of strings of 100 that start earlier; a character cut in part goes whole."""
-    kept = suffix_dedup(docs, keep=["lang", "source"])
-    text: Column = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    return kept.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = suffix_dedup(docs, keep=["lang", "source"], characters=True)
+    return kept.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +53,13 @@ STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", s
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each one's rows written and read again as the next one's."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``, each one's rows written and read again as the next one's.  What a stage
+    wrote besides goes when it is done, and its rows when the next one's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:
+            docs = keep(saved(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before:
+            remove(spark, before)
+        before = docs.quarry_path
     return docs

@@ -3,12 +3,13 @@
 Every window of ``length`` bytes is charged to its anchor, the ``GRAM``-byte string in it of
 the smallest hash, so equal windows have equal anchors at equal places.  A run is a stretch
 of windows of one document with one anchor.  Runs with the same bytes are folded first where
-they are read, then once over all by (anchor, run) hashes of 64 bits each: all but the earliest
-only hold windows that start earlier.  Anchors that still have several different runs get their
+they are read, then once over all, by their anchor and a salted BLAKE2 digest of their bytes (64 bits,
+a new salt for each job, so no text can aim at it): all but the earliest only hold windows that
+start earlier.  Anchors that still have several different runs get their
 bytes, and the windows at equal distance from the anchor are put in order by the hash-compared
 suffix sort; equal neighbours are verified bytewise and all but the earliest are marked.
 Anchors of very many different runs are taken window by window and folded like runs, so no
-task holds an unbounded group.
+task holds an unbounded group; the result is the same.
 
 Order is by doc_id (null first), repeated doc_ids by text, then the start.  Null texts are empty;
 matches never cross documents; strings are judged on the input.  Repeated rows count as
@@ -18,14 +19,15 @@ documents of their own.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_only, id_filter, mix, other_work, prefix_hash, release, saved, span_hash, utf8
+from .common import bounded_batches, held_only, id_filter, mix, other_work, prefix_hash, release, saved, scratch, span_hash, utf8
 from .suffixsort import SuffixOrder
 
 GRAM = 32
@@ -39,8 +41,9 @@ SEGMENT = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, run hash, first window, windows) of every run of a document."""
+def runs(text: bytes, length: int, salt: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, digest of the bytes, first window, windows) of every run of a document."""
+    digest = hashlib.blake2b
     out: list[tuple[np.ndarray, ...]] = []
     for begin in range(0, len(text) - length + 1, SEGMENT):
         data = np.frombuffer(text, np.uint8)[begin : begin + SEGMENT + length - 1]
@@ -58,8 +61,8 @@ def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         count = np.diff(np.append(start, len(anchor)))
         place = anchor[start]
-        body = span_hash(prefix, start, start + count + length - 1)
-        run = mix(body ^ mix(((place - start) * 1024 + count).astype(np.uint64)))
+        spans = zip((start + begin).tolist(), (start + begin + count + length - 1).tolist(), strict=True)
+        run = np.frombuffer(b"".join([digest(text[a:b], digest_size=8, salt=salt).digest() for a, b in spans]), np.uint64)
         out.append((gram[place], run, start + begin, count))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
@@ -116,7 +119,7 @@ def _spans(doc, start, end) -> pa.RecordBatch:
     return _events(_spread(doc, start), np.zeros(len(doc), np.int64), doc, start, (end - start).astype(np.int32), np.zeros(len(doc), np.int8))
 
 
-def _read_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _read_runs(batches: Iterator[pa.RecordBatch], length: int, salt: bytes) -> Iterator[pa.RecordBatch]:
     """Events of texts: runs folded within some megabytes, and spans of the folded ones."""
     other_work()
     held: list[tuple[np.ndarray, ...]] = []
@@ -138,7 +141,7 @@ def _read_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
     for batch in batches:
         for doc, text in zip(batch.column("doc").to_pylist(), utf8(batch.column("text")), strict=True):
             if text and len(text) >= length:
-                anchor, run, start, count = runs(text, length)
+                anchor, run, start, count = runs(text, length, salt)
                 held.append((anchor, run, np.full(len(run), doc), start, count))
                 size += len(run)
                 if size > 1_000_000:
@@ -293,7 +296,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     docs = docs.filter("doc is not null")  # said here for either join, so that they can share an exchange
-    events = docs.mapInArrow(lambda b: _read_runs(b, length), EVENTS).repartition("anchor").sortWithinPartitions("anchor", "run", "doc", "first")
+    salt = os.urandom(16)
+    events = docs.mapInArrow(lambda b: _read_runs(b, length, salt), EVENTS).repartition("anchor").sortWithinPartitions("anchor", "run", "doc", "first")
     met = saved(events.mapInArrow(lambda b: _meet(b, length), EVENTS), "suffix-events")
     release(docs.sparkSession)
     wanted = met.filter("kind = 1")
@@ -319,8 +323,6 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def _ranked(docs: DataFrame) -> DataFrame:
     """Row numbers in order of (doc_id, text): ranges are sorted apart and counted, one row a range."""
-    from pyspark.sql import Window
-
     ranged = docs.repartitionByRange("doc_id", F.xxhash64("text"), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     placed = saved(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("inside")), "suffix-ranked")
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("inside").alias("low"))
@@ -328,30 +330,48 @@ def _ranked(docs: DataFrame) -> DataFrame:
     return placed.join(base, "part").withColumn("doc", F.col("base") + F.col("inside") - F.col("low")).drop("part", "inside", "low", "base")
 
 
-def kept_bytes(text: bytes, spans: list) -> tuple[bytes, int, int]:
-    """What is left of a text, the bytes removed, and the maximal removed runs."""
-    parts, at, removed, count = [], 0, 0, 0
-    end = -1
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping and touching ones joined."""
+    out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if a > end:
-            parts.append(text[max(at, 0) : a])
-            count += 1
-            removed += b - a
-            at = end = b
-        elif b > end:
-            removed += b - end
-            at = end = b
-    parts.append(text[at:])
-    return b"".join(parts), removed, count
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def to_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Joined spans, with the whole of characters that they cut in part."""
+    out = []
+    for a, b in spans:
+        while a and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        out.append((a, b))
+    return joined(out)
+
+
+def kept_bytes(text: bytes, spans: list, characters: bool = False) -> tuple[bytes, int, int]:
+    """What is left of a text, the bytes removed, and the maximal removed runs."""
+    spans = joined(spans)
+    if characters:
+        spans = to_characters(text, spans)
+    edges = [0, *(x for span in spans for x in span), len(text)]
+    parts = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return b"".join(parts), sum(b - a for a, b in spans), len(spans)
 
 
 @bounded_batches
-def suffix_dedup(docs: DataFrame, length: int = 100, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns ``keep``, n_bytes, n_removed, n_spans, and ``kept`` (the bytes left)."""
+def suffix_dedup(docs: DataFrame, length: int = 100, keep: list[str] | None = None, characters: bool = False) -> DataFrame:
+    """doc_id, the columns ``keep``, n_bytes, n_removed, n_spans, and ``kept`` (the bytes left).  With
+    ``characters`` one that is removed in part goes whole."""
     keep = keep or []
     docs = numbered(docs.select(F.col("doc_id").cast("long"), "text", *keep)).filter("doc is not null")
-    spans = repeated_spans(docs.select("doc", "text"), length)
-    by_doc = saved(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    with scratch(docs.sparkSession) as held_on:
+        spans = repeated_spans(docs.select("doc", "text"), length)
+        by_doc = held_on(saved(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "suffix-spans"))
     # Only texts that lose something are shuffled to their spans; the filter's false alarms find none.
     held = id_filter(by_doc, "doc")
     docs = docs.select("doc", "doc_id", *keep, "text")
@@ -367,7 +387,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep: list[str] | None = No
             found = [None] * batch.num_rows if whole else batch.column(n + 1).to_pylist()
             sizes, kept, removed, counts = [], [], [], []
             for text, spans in zip(utf8(batch.column(n)), found, strict=True):
-                left, r, c = kept_bytes(text or b"", [(s["start"], s["end"]) for s in spans or []])
+                left, r, c = kept_bytes(text or b"", [(s["start"], s["end"]) for s in spans or []], characters)
                 sizes.append(len(text or b""))
                 kept.append(left)
                 removed.append(r)

@@ -246,6 +246,24 @@ def test_suffix_sort_verifies(monkeypatch):
         order.classes(np.array([0, 1]), np.array([0, 0]))
 
 
+def test_folding_goes_by_a_salted_digest_of_the_bytes():
+    """Runs of other bytes, or under another salt, have other digests; equal ones have equal anchors too."""
+    text = bytes(np.random.default_rng(1).integers(97, 123, 4000, dtype=np.uint8)) * 2
+    anchor, run, start, count = suffixdedup.runs(text, 100, b"one")
+    seen = {}
+    for a, r, i, n in zip(anchor.tolist(), run.tolist(), start.tolist(), count.tolist(), strict=True):
+        assert seen.setdefault(r, (a, text[i : i + n + 99])) == (a, text[i : i + n + 99])
+    assert len(seen) < len(run) and not set(run.tolist()) & set(suffixdedup.runs(text, 100, b"two")[1].tolist())
+
+
+def test_characters_go_whole():
+    text = "aé�bü".encode()
+    assert suffixdedup.kept_bytes(text, [(2, 3)], True) == ("a�bü".encode(), 2, 1)
+    assert suffixdedup.kept_bytes(text, [(1, 2), (4, 5)], True) == ("abü".encode(), 5, 1)
+    assert suffixdedup.kept_bytes(text, [(7, 8)], True) == ("aé�b".encode(), 2, 1)
+    assert suffixdedup.kept_bytes(text, [], True) == (text, 0, 0) and suffixdedup.kept_bytes(b"", [], True) == (b"", 0, 0)
+
+
 def test_spans():
     doc, start, end = suffixdedup.joined_spans(np.array([1, 1, 0, 1]), np.array([5, 0, 3, 9]), np.array([9, 4, 4, 12]))
     assert list(zip(doc, start, end, strict=True)) == [(0, 3, 4), (1, 0, 4), (1, 5, 12)]

@@ -51,6 +51,30 @@ def test_stages(spark):
     assert check_packing(pipeline.packing(spark, clean, SF).collect(), expected) == 0
 
 
+def test_own_replacement_characters_stay(spark):
+    """A cut through a character takes that one only."""
+    shared = "".join(chr(0x100 + k) for k in range(60))
+    docs = spark.createDataFrame([(1, f"{shared} one", "en", "s", 1), (2, f"� two {chr(0x140)}{shared[1:]} �", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    after = dict(rows(pipeline.suffix_removal(spark, docs, SF)))
+    assert after[1] == rows(docs)[0][1] and after[2].count("�") == 2 and after[2] == "� two �"
+
+
+def test_scratch_tables_go(spark):
+    from quarry.llm import common
+
+    before = set(_files(spark))
+    out = corpus_pipeline.run(spark, SF)
+    left = set(_files(spark)) - before
+    assert left == {out.quarry_path.rpartition("/")[2]} and common._written == []
+
+
+def _files(spark):
+    from quarry.llm import common
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(common.fresh_path(spark, "x")).getParent()
+    return [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
 def test_toxicity_stage(spark):
     """What goes is labelled toxic, what stays isn't, but for a few."""
     folder = SF.replace("0.001", "0.01")
