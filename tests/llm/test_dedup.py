@@ -68,8 +68,35 @@ def test_groups_of_variants(spark, monkeypatch):
     want = slow_components(rows, 4)
     assert sorted((tuple(r) for r in neardup.near_duplicates(df, size=4).collect()), key=str) == want
     # The same in blocks of a few rows: what joins them meets in pairs of blocks.
+    for rows_, rounds in ((16, 3), (16, 0), (5, 1)):
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_)
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        assert sorted((tuple(r) for r in neardup.near_duplicates(df, size=4).collect()), key=str) == want
+
+
+def test_a_group_of_near_copies_is_moved_once(spark, monkeypatch):
+    """What links to a representative meets nothing else: blocks don't multiply a large group."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join([*base[:150], *[f"y{i}{k}" for k in range(50)]])) for i in range(3)]
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
-    assert sorted((tuple(r) for r in neardup.near_duplicates(df, size=4).collect()), key=str) == want
+    held = {}
+    placed = neardup._placed
+
+    def watched(stars, near, limit):
+        out, edges = placed(stars, near, limit)
+        held["members"], held["moved"] = stars.count(), out.count()
+        return out, edges
+
+    monkeypatch.setattr(neardup, "_placed", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in neardup.near_duplicates(df, size=4).collect()), key=str) == slow_components(rows, 4)
+    assert held["members"] > 400 and held["moved"] < held["members"]
 
 
 def test_near_duplicate_edges(spark):
