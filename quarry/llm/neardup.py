@@ -183,10 +183,9 @@ def row_components(docs: DataFrame, size: int = 5, limit: int = 80, miss: float
         bands = classes.select("rep", "n", "sig").mapInArrow(banded, "key long, rep long, n long")
         hubs = saved(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", "hub"), "neardup-hubs")
         stars = saved(bands.join(hubs, "key").groupBy("hub", "rep").agg(F.max("n").alias("n")), "neardup-stars")
-        # The sets of all that share a bucket, made once more from their texts.  A filter of bounded
-        # size leaves most other texts out before anything is shuffled; the join is exact.
-        wanted = stars.select("rep").distinct()
-        near = saved(_sets(docs, size, id_filter(wanted, "rep")).join(wanted, F.col("doc") == F.col("rep"), "left_semi"), "neardup-sets")
+        # The sets of all that share a bucket, made once more from their texts.  A filter of bounded size
+        # leaves most other texts out where they are read; what it lets pass besides, joins leave out.
+        near = saved(_sets(docs, size, id_filter(stars.select("rep").distinct(), "rep")), "neardup-sets")
         placed, edges = _placed(stars, near, limit)
         grouped = placed.join(near, placed.rep == near.doc).select(*_GROUP, "own", "rep", "sig", "set")
         grouped = grouped.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "rep")
