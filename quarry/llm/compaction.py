@@ -122,9 +122,10 @@ class ShardedTable:
             except Conflict:
                 continue
 
-    def append(self, df: DataFrame, arrival: Column | None = None) -> int:
+    def append(self, df: DataFrame, arrival: Column | None = None, keep: int | None = None) -> int:
         """Commit the rows as new shards; returns the version.  With ``arrival``, the rows of each value of
-        it are an arrival: written in one pass, then committed one by one, each with the merges that are due."""
+        it are an arrival: written in one pass, then committed one by one, each with the merges that are due.
+        ``keep``: delete as ``vacuum`` does after each."""
         if ARRIVAL in df.columns:
             raise ValueError(f"a column is named {ARRIVAL}")
         with self._announced("a") as folder:
@@ -135,9 +136,13 @@ class ShardedTable:
             arrivals: dict[str, list[Shard]] = {}
             for shard in self._written(folder):
                 arrivals.setdefault(shard.path.rpartition("/")[0], []).append(shard)
+            waiting = {s.path for own in arrivals.values() for s in own}
             for own in arrivals.values():
                 self._commit_on(lambda shards, own=own: shards + own)
+                waiting -= {s.path for s in own}
                 self.compact()
+                if keep is not None:
+                    self.vacuum(keep, folder.rpartition("/")[2], waiting)
         return self.version()
 
     def tier(self, size: int) -> int:
@@ -185,16 +190,17 @@ class ShardedTable:
         """The rows of a version, the last by default."""
         return self.read_shards(self.shards(version))
 
-    def vacuum(self, keep: int = 1) -> int:
+    def vacuum(self, keep: int = 1, own: str | None = None, waiting: set[str] | None = None) -> int:
         """Delete data files that none of the last ``keep`` versions names and no writer may still commit;
-        returns how many.  Readers of older versions must be done."""
+        returns how many.  Readers of older versions must be done.  Of the folder ``own``, which the caller
+        has announced, only the files ``waiting`` may still be committed."""
         # In this order: what is committed meanwhile is announced, or named by a version that is read after.
         written = self._written(f"{self.root}/data") if self._fs.exists(self._path(f"{self.root}/data")) else []
         notes = self._fs.listStatus(self._path(f"{self.root}/writing"))
         oldest = (time.time() - self.lease) * 1000
-        busy = {n.getPath().getName() for n in notes if n.getModificationTime() >= oldest}
+        busy = {n.getPath().getName() for n in notes if n.getModificationTime() >= oldest} - {own}
         last = self.version()
-        named = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)}
+        named = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)} | (waiting or set())
         data = self._path(f"{self.root}/data").toUri().getPath()
         folder = lambda s: self._path(s.path).toUri().getPath()[len(data) + 1 :].partition("/")[0]
         gone = [s for s in written if s.path not in named and folder(s) not in busy]
@@ -210,7 +216,7 @@ def compacted(docs: DataFrame, arrivals: int = 16, target: int = 128 << 20) -> D
     ``tier_shards`` (shards of that tier that a merge may still take) and ``version``."""
     spark = docs.sparkSession
     table = ShardedTable(spark, fresh_path(spark, "shards"), docs.schema, target)
-    table.append(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)))
+    table.append(docs, F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)), keep=1)
     table.vacuum()
     version = table.version()
     shards = table.shards(version)
