@@ -166,6 +166,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: Powers that a worker keeps for work of another kind; more go with the work that asked for them.
+KEPT_POWERS = 1 << 20
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n, kept for the next call."""
     size = 1 << max(16, (n - 1).bit_length())
@@ -174,11 +178,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
         up[0] = down[0] = 1
         _powers.clear()
-        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        _powers[size] = np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
         best = size
     return _powers[best]
 
 
+def _drop_powers() -> None:
+    if max(_powers, default=0) > KEPT_POWERS:
+        _powers.clear()
+
+
+keep_until_other_work(_drop_powers)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(33))

@@ -297,6 +297,7 @@ def _sets(docs: DataFrame, size: int, held: IdFilter) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], groups: Groups) -> Iterator[pa.RecordBatch]:
+    other_work()
     key, rows, found = None, [], []
 
     def close() -> None:

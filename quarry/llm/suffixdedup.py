@@ -36,7 +36,7 @@ MANY_RUNS = 2000
 #: Windows that the suffix sort takes at once, unless one anchor has more.
 SORT_WINDOWS = 200_000
 #: Windows of a document looked at at once; positions fit the low bits of a sort key.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 19
 
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -152,6 +152,7 @@ def _read_runs(batches: Iterator[pa.RecordBatch], length: int, salt: bytes) -> I
 def _meet(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Events sorted by (anchor, run, doc, first): spans pass; of each run the earliest stays and
     the others become spans; the earliest run of an anchor stays only if another run follows."""
+    other_work()
     before: tuple[int, int] | None = None  # anchor and run of the row before
     pending: tuple | None = None  # an anchor's first run, until another one is seen
 
@@ -233,6 +234,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans of the windows that start earlier elsewhere; contexts come sorted by anchor."""
+    other_work()
     held: list[tuple[int, int, int, int, bytes]] = []
     windows = 0
 
