@@ -1,4 +1,7 @@
-"""Writing rows: constraints are joins and aggregations against the touched keys; a change is a new version."""
+"""Writing rows: constraints are joins and aggregations against the touched keys; a change is a new version.
+
+Rows that are added are written once, beside the files that are there; a change of rows rewrites the
+files that hold one of them."""
 
 from __future__ import annotations
 
@@ -45,6 +48,7 @@ def fill_counters(table: Table, rows: DataFrame) -> tuple[DataFrame, int]:
         rank = F.row_number().over(Window.partitionBy("_p", missing).orderBy("_n"))
         numbered = marked.withColumn("_r", rank).join(base, "_p", "left")
         rows = numbered.withColumn(name, F.when(missing, F.lit(counter) + F.col("_b") + F.col("_r")).otherwise(F.col(name)).cast(table.column(name).type)).select(*rows.columns)
+        # Numbers that a statement gives itself count too, so that a later one can't repeat them.
         top = rows.agg(F.max(name)).first()[0]
         counter = max(counter, int(top or 0))
     return rows, counter
@@ -125,12 +129,12 @@ def insert(catalog: Catalog, table: Table, rows: DataFrame, given: list[str] | N
     mode: plain (a repeated key is an error), ignore (such rows are left out), replace (they take
     the old rows' place).  ``update``: for repeated keys, the old row's columns by SQL over the old
     row, ``VALUES(c)`` written ``new.c``."""
-    fresh, _ = catalog.store(conform(table, rows, given or [c.name for c in table.columns]), f"{table.name}-batch")
+    fresh, path = catalog.store(conform(table, rows, given or [c.name for c in table.columns]), f"{table.name}-batch")
     fresh, counter = fill_counters(table, fresh)
     if any(c.auto for c in table.columns):
-        fresh, _ = catalog.store(fresh, f"{table.name}-batch")
+        fresh, path = catalog.store(fresh, f"{table.name}-batch")
     check_values(table, fresh)
-    old = table.rows
+    old, touched, rest = table.rows, [], None
     keyed = bool(unique_keys(table))
     changed = 0
     if keyed and mode in ("ignore", "replace"):
@@ -145,27 +149,43 @@ def insert(catalog: Catalog, table: Table, rows: DataFrame, given: list[str] | N
         fresh = fresh.drop("_at")
         if mode == "ignore":
             fresh = matches_any_key(table, fresh, old, "left_anti")
-        else:
-            old = matches_any_key(table, old, fresh, "left_anti")
-        fresh, _ = catalog.store(fresh, f"{table.name}-batch")
+        fresh, path = catalog.store(fresh, f"{table.name}-batch")
+        if mode == "replace":
+            placed = catalog.with_files(table)
+            touched = _files_of(matches_any_key(table, placed, fresh, "left_semi"))
+            rest = matches_any_key(table, _inside(placed, touched), fresh, "left_anti")
     elif keyed and update:
         check_unique(table, fresh, None)
         meets, _ = catalog.store(matches_any_key(table, fresh, old, "left_semi"), f"{table.name}-batch")
         changed = meets.count()
         if changed:
-            old = _updated_by_key(table, old, meets, update)
-            fresh, _ = catalog.store(matches_any_key(table, fresh, meets, "left_anti"), f"{table.name}-batch")
-            check_values(table, old)
-            check_unique(table, old.unionByName(fresh), None)
-            check_foreign(catalog, table, old)
+            placed = catalog.with_files(table)
+            touched = _files_of(matches_any_key(table, placed, meets, "left_semi"))
+            rest = _updated_by_key(table, _inside(placed, touched), meets, update)
+            fresh, path = catalog.store(matches_any_key(table, fresh, meets, "left_anti"), f"{table.name}-batch")
+            check_values(table, rest)
+            check_unique(table, _updated_by_key(table, old, meets, update).unionByName(fresh), None)
+            check_foreign(catalog, table, rest)
     else:
         check_unique(table, fresh, old)
     check_foreign(catalog, table, fresh)
     count = fresh.count()
-    catalog.put_rows(table, old.unionByName(fresh), counter=counter)
+    if touched:
+        catalog.put_files(table, touched, rest, ((path, 0),), counter=counter)
+    elif count:
+        catalog.add_rows(table, path, counter=counter)
     return count + changed
 
 
+def _files_of(rows: DataFrame) -> list[str]:
+    """The files that rows are in: one name a file."""
+    return [r["_file"] for r in rows.select("_file").distinct().collect()]
+
+
+def _inside(rows: DataFrame, files: list[str]) -> DataFrame:
+    return rows.filter(F.col("_file").isin(*files) if files else F.lit(False))
+
+
 def _updated_by_key(table: Table, old: DataFrame, fresh: DataFrame, update: dict[str, str]) -> DataFrame:
     """Old rows that meet a new one by a key, changed by expressions over both."""
     out = old
@@ -178,29 +198,33 @@ def _updated_by_key(table: Table, old: DataFrame, fresh: DataFrame, update: dict
     return out
 
 
+def _hits(catalog: Catalog, table: Table, where: Expr | None) -> tuple[DataFrame, list[str], int]:
+    """The rows marked by whether a change is for them, the files with such rows, and their number."""
+    marked = catalog.with_files(table).withColumn("_hit", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    found = marked.filter("_hit").groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a file
+    return marked, [r["_file"] for r in found], sum(r["n"] for r in found)
+
+
 def update(catalog: Catalog, table: Table, changes: dict[str, Expr], where: Expr | None) -> int:
     """Change rows in place: expressions see the old row."""
-    hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    marked = table.rows.withColumn("_hit", hit)
-    count = marked.filter("_hit").count()
+    marked, touched, count = _hits(catalog, table, where)
     if not count:
         return 0
-    new = marked.select("_hit", *[(F.when(F.col("_hit"), changes[c.name]).otherwise(F.col(f"`{c.name}`")).cast(c.type) if c.name in changes else F.col(f"`{c.name}`")).alias(c.name) for c in table.columns])
-    touched = new.filter("_hit").drop("_hit")
-    check_values(table, touched)
+    new = marked.select("_hit", "_file", *[(F.when(F.col("_hit"), changes[c.name]).otherwise(F.col(f"`{c.name}`")).cast(c.type) if c.name in changes else F.col(f"`{c.name}`")).alias(c.name) for c in table.columns])
+    check_values(table, new.filter("_hit"))
     keys = {c for _, ks, _ in unique_keys(table) for c in changes if any(c in str(k) for k in ks)}
     if keys:
-        check_unique(table, new.drop("_hit"), None)
+        check_unique(table, new, None)
     if any(set(f.columns) & set(changes) for f in table.foreign_keys):
-        check_foreign(catalog, replace(table, rows=new.drop("_hit")), touched)
-    catalog.put_rows(table, new.drop("_hit"))
+        plain = new.drop("_hit", "_file")
+        check_foreign(catalog, replace(table, rows=plain), new.filter("_hit").drop("_hit", "_file"))
+    catalog.put_files(table, touched, _inside(new, touched))
     return count
 
 
 def delete(catalog: Catalog, table: Table, where: Expr | None) -> int:
     """Leave out the rows for which the condition is true."""
-    hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    count = table.rows.filter(hit).count()
+    marked, touched, count = _hits(catalog, table, where)
     if count:
-        catalog.put_rows(table, table.rows.filter(~hit))
+        catalog.put_files(table, touched, _inside(marked, touched).filter("not _hit"))
     return count

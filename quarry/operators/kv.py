@@ -1,8 +1,9 @@
 """Key-value structures over DataFrames: strings, hashes, lists, sets, sorted sets, streams.
 
 Each structure is one long table of the catalog's state, so its commands take part in
-transactions and it can be queried as ``information_schema.kv_...``.  Changes are joins and
-unions on the touched keys; a changed structure is written as its next version.
+transactions and it can be queried as ``information_schema.kv_...``.  A change adds its own rows to a
+log, numbered, or marks of rows that are gone; of equal keys the last number counts.  Logs are
+merged by levels, so a row is written again only a few times, whatever a structure's size.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ import re
 import threading
 import time
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, Store
+from ..sources.storage import SETTLED, due, read_parts
 
 SCHEMAS = {
     "kv_strings": "key string, value string, expiry long",
@@ -26,6 +29,20 @@ SCHEMAS = {
     "kv_zset": "key string, score double, member string",
     "kv_stream": "key string, id long, field string, value string",
 }
+#: What names a row of each structure.
+ON = {"kv_strings": ["key"], "kv_hash": ["key", "field"], "kv_list": ["key", "index"], "kv_set": ["key", "member"], "kv_zset": ["key", "member"], "kv_stream": ["key", "id", "field"]}
+_LOGGED = "{}, _change long, _gone boolean"
+
+
+def _alone(command: Callable) -> Callable:
+    """A command that reads before it writes: one at a time."""
+
+    @wraps(command)
+    def run(self, *args, **kwargs):
+        with self.lock:
+            return command(self, *args, **kwargs)
+
+    return run
 
 
 def bounds(start: int, stop: int, n: int) -> tuple[int, int]:
@@ -47,36 +64,62 @@ class KeyValue:
     """The commands.  ``clock`` gives milliseconds."""
 
     def __init__(self, catalog: Catalog, clock=lambda: int(time.time() * 1000)):
-        self.catalog, self.clock = catalog, clock
+        self.catalog, self.clock, self.lock = catalog, clock, threading.RLock()
 
     # Tables
 
+    def _schema(self, name: str):
+        return self.catalog.spark.createDataFrame([], _LOGGED.format(SCHEMAS[name])).schema
+
     def table(self, name: str) -> DataFrame:
         """A structure's rows, without expired strings."""
-        stores = self.catalog.state.stores
-        rows = stores[name] if name in stores else self.catalog.spark.createDataFrame([], SCHEMAS[name])
+        store = self.catalog.state.stores.get(name, Store())
+        rows = read_parts(self.catalog.spark, store.parts, self._schema(name))
+        if store.changes:
+            rows = self._last(name, rows)
+        rows = rows.filter("not _gone").drop("_change", "_gone") if store.parts else rows.drop("_change", "_gone")
         return rows.filter(F.col("expiry").isNull() | (F.col("expiry") > self.clock())) if name == "kv_strings" else rows
 
-    def _put(self, name: str, rows: DataFrame) -> None:
-        self.catalog.state.stores[name] = self.catalog.store(rows, name)[0]
+    def _last(self, name: str, log: DataFrame) -> DataFrame:
+        """Of rows with one name the last; filters by key reach the files."""
+        rest = [c for c in log.columns if c not in ON[name]]
+        last = log.groupBy(*ON[name]).agg(F.max_by(F.struct(*rest), "_change").alias("_v"))
+        return last.select(*[F.col(c) if c in ON[name] else F.col(f"_v.{c}").alias(c) for c in log.columns])
 
     def load(self, name: str, rows: DataFrame) -> None:
         """Take a whole structure from a DataFrame of its columns."""
         given = self.catalog.spark.createDataFrame([], SCHEMAS[name]).schema
-        self._put(name, rows.select(*[F.col(f.name).cast(f.dataType) for f in given]))
+        whole = rows.select(*[F.col(f.name).cast(f.dataType) for f in given], F.lit(0).cast("long").alias("_change"), F.lit(False).alias("_gone"))
+        _, path = self.catalog.store(whole, name)
+        self.catalog.state.stores[name] = Store(((path, SETTLED),))
 
     def _rows(self, name: str, values: list[tuple]) -> DataFrame:
-        return self.catalog.spark.createDataFrame(values, SCHEMAS[name])
-
-    def _upsert(self, name: str, values: list[tuple], on: list[str]) -> None:
-        fresh = self._rows(name, values)
-        self._put(name, self.table(name).join(fresh.select(*on), on, "left_anti").unionByName(fresh))
+        return self.catalog.spark.createDataFrame(values, SCHEMAS[name]).coalesce(1)
+
+    def _log(self, name: str, rows: DataFrame, gone: bool = False) -> None:
+        """Add a change's rows, and merge parts of the log of which there are many."""
+        with self.lock:
+            store = self.catalog.state.stores.get(name, Store())
+            change = store.changes + 1
+            _, path = self.catalog.store(rows.withColumns({"_change": F.lit(change).cast("long"), "_gone": F.lit(gone)}), name)
+            parts = (*store.parts, (path, 0))
+            while own := due(parts):
+                level = dict(parts)[own[0]]
+                merged = self._last(name, read_parts(self.catalog.spark, tuple((p, 0) for p in own), self._schema(name)))
+                if len(own) == len(parts):
+                    merged = merged.filter("not _gone")
+                _, path = self.catalog.store(merged.coalesce(max(1, sum(map(self.catalog.files.size, own)) >> 27)), name)
+                parts = (*[x for x in parts if x[0] not in own], (path, level + 1))
+            self.catalog.state.stores[name] = Store(parts, change)
+
+    def _upsert(self, name: str, values: list[tuple], on: list[str] | None = None) -> None:
+        self._log(name, self._rows(name, values))
 
     def _drop(self, name: str, where: Column) -> int:
-        rows = self.table(name)
-        gone = rows.filter(where).count()
+        rows = self.table(name).filter(where)
+        gone = rows.count()
         if gone:
-            self._put(name, rows.filter(~where))
+            self._log(name, rows, True)
         return gone
 
     def _own(self, name: str, key: str) -> DataFrame:
@@ -105,6 +148,7 @@ class KeyValue:
     def exists(self, *keys: str) -> int:
         return sum(any(not self._own(name, k).limit(1).isEmpty() for name in SCHEMAS) for k in keys)
 
+    @_alone
     def expire(self, key: str, seconds: float) -> bool:
         row = self._own("kv_strings", key).first()
         if row:
@@ -126,6 +170,7 @@ class KeyValue:
 
     # Hashes
 
+    @_alone
     def hset(self, key: str, fields: dict[str, str]) -> int:
         """Returns how many fields are new."""
         held = self.hmget(key, fields)
@@ -137,6 +182,7 @@ class KeyValue:
         got = {r["field"]: r["value"] for r in self._own("kv_hash", key).filter(F.col("field").isin(*fields)).collect()}
         return {f: got.get(f) for f in fields}
 
+    @_alone
     def hsetnx(self, key: str, field: str, value: str) -> bool:
         new = self.hget(key, field) is None
         if new:
@@ -158,15 +204,17 @@ class KeyValue:
         row = self._own("kv_list", key).agg(F.min("index"), F.max("index")).first()
         return (0, -1) if row[0] is None else (row[0], row[1])
 
+    @_alone
     def rpush(self, key: str, *values: str) -> int:
         _, last = self._ends(key)
-        self._put("kv_list", self.table("kv_list").unionByName(self._rows("kv_list", [(key, last + 1 + i, str(v)) for i, v in enumerate(values)])))
+        self._upsert("kv_list", [(key, last + 1 + i, str(v)) for i, v in enumerate(values)])
         return self.llen(key)
 
+    @_alone
     def lpush(self, key: str, *values: str) -> int:
         """Each value in turn becomes the head."""
         first, _ = self._ends(key)
-        self._put("kv_list", self.table("kv_list").unionByName(self._rows("kv_list", [(key, first - 1 - i, str(v)) for i, v in enumerate(values)])))
+        self._upsert("kv_list", [(key, first - 1 - i, str(v)) for i, v in enumerate(values)])
         return self.llen(key)
 
     def llen(self, key: str) -> int:
@@ -176,6 +224,7 @@ class KeyValue:
         rows = list_range(self._own("kv_list", key), "key", start, stop, ["index"], "value")
         return [r["value"] for r in rows.orderBy("index").collect()]
 
+    @_alone
     def _pop(self, key: str, n: int, head: bool) -> list[str]:
         rows = self._own("kv_list", key).orderBy("index" if head else F.desc("index")).limit(n).collect()
         if rows:
@@ -190,9 +239,10 @@ class KeyValue:
 
     # Sets
 
+    @_alone
     def sadd(self, key: str, *members: str) -> int:
         before = self._own("kv_set", key).filter(F.col("member").isin(*members)).count()
-        self._put("kv_set", self.table("kv_set").unionByName(self._rows("kv_set", [(key, m) for m in members])).distinct())
+        self._upsert("kv_set", [(key, m) for m in set(members)])
         return len(set(members)) - before
 
     def smembers(self, key: str) -> set[str]:
@@ -206,6 +256,7 @@ class KeyValue:
 
     # Sorted sets
 
+    @_alone
     def zadd(self, key: str, scores: dict[str, float]) -> int:
         before = self._own("kv_zset", key).filter(F.col("member").isin(*scores)).count()
         self._upsert("kv_zset", [(key, float(s), m) for m, s in scores.items()], ["key", "member"])
@@ -226,12 +277,13 @@ class KeyValue:
 
     # Streams
 
+    @_alone
     def xadd(self, key: str, fields: dict[str, str], id: int | None = None) -> int:
         last = self._own("kv_stream", key).agg(F.max("id")).first()[0] or 0
         new = last + 1 if id is None else id
         if new <= last:
             raise ValueError(f"the id must be above {last}")
-        self._put("kv_stream", self.table("kv_stream").unionByName(self._rows("kv_stream", [(key, new, f, str(v)) for f, v in fields.items()])))
+        self._upsert("kv_stream", [(key, new, f, str(v)) for f, v in fields.items()])
         return new
 
     def xrange(self, key: str, start: int | str = "-", stop: int | str = "+", count: int | None = None) -> list[tuple[int, dict[str, str]]]:
@@ -245,6 +297,26 @@ class KeyValue:
         return self._own("kv_stream", key).select("id").distinct().count()
 
 
+#: Commands that change a structure, that remove from it, and that only read.
+_WRITES = {"set", "expire", "hset", "hsetnx", "rpush", "lpush", "sadd", "zadd", "xadd", "load"}
+_REMOVES = {"delete", "hdel", "lpop", "rpop", "srem", "zrem"}
+_READS = {"get", "exists", "ttl", "keys", "hmget", "hget", "hgetall", "llen", "lrange", "smembers", "sismember", "zrange", "zrangebyscore", "xrange", "xlen", "table"}
+
+
+class Guarded:
+    """The commands of a user: each needs its privilege on every table."""
+
+    def __init__(self, kv: KeyValue, check: Callable[[str], None]):
+        self._kv, self._check = kv, check
+
+    def __getattr__(self, name: str):
+        privilege = "INSERT" if name in _WRITES else "DELETE" if name in _REMOVES else "SELECT" if name in _READS else None
+        if privilege is None:
+            raise AttributeError(name)
+        self._check(privilege)
+        return getattr(self._kv, name)
+
+
 class Channels:
     """Publish and subscribe within the process: messages go to the subscribers' queues."""
 

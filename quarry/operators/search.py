@@ -1,13 +1,19 @@
-"""Full-text search: postings as a DataFrame, BM25 ranking.
+"""Full-text search: postings as DataFrames, BM25 ranking.
 
 A query has words (any may match), ``+word`` (must), ``-word`` (must not), ``"a phrase"`` (must
 follow each other) and ``column:word``.  Every column of a row is searched.
+
+A table of the catalog is searched by its index: a segment of postings for each of its files, made
+when a search first meets the file.  Files are never changed, so an index follows every write: rows
+that are added or rewritten are in new files, and segments of files that went go with them.  Other
+DataFrames are scanned.  Ties are in the order of the columns' values, texts by their MD5.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +23,7 @@ K1, B = 1.2, 0.75
 #: Rows that a search returns.
 TOP = 100
 _SPLIT = r"[^\p{L}\p{N}]+"
+_WORD = r"[\p{L}\p{N}]+"
 _PART = re.compile(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))')
 
 
@@ -27,6 +34,10 @@ class Query:
     never: list[tuple[str | None, str]] = field(default_factory=list)
     phrases: list[tuple[str | None, list[str], bool]] = field(default_factory=list)  # column, words, wanted
 
+    @property
+    def terms(self) -> list[tuple[str | None, str]]:
+        return list(dict.fromkeys(self.should + self.must))
+
 
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
@@ -48,98 +59,164 @@ def parse_query(text: str) -> Query:
     return out
 
 
+def _joined(df: DataFrame, column: str | None = None) -> Column:
+    names = [column] if column else df.columns
+    return F.lower(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in names]))
+
+
 def text_of(df: DataFrame, column: str | None = None) -> Column:
     """The searched text of a row: words between single spaces, a space at either end."""
-    names = [column] if column else df.columns
-    joined = F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in names])
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(joined), _SPLIT, " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(_joined(df, column), _SPLIT, " ")), F.lit(" "))
+
+
+def length_of(df: DataFrame) -> Column:
+    """The words of a row; a row without words counts as one."""
+    return F.greatest(F.regexp_count(_joined(df), F.lit(_WORD)), F.lit(1))
+
+
+def _idf(rows: int, holding: int) -> float:
+    return math.log(1 + (rows - holding + 0.5) / (holding + 0.5))
+
+
+def _part(idf: float, tf: Column, length: Column, average: float) -> Column:
+    return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def _best(rows: DataFrame, names: list[str], top: int | None) -> DataFrame:
+    """Rows by score, ties by the columns' values."""
+    kinds = dict(rows.dtypes)
+    ties = [F.md5(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`") if kinds[c] in _PLAIN else F.col(f"`{c}`").cast("string") for c in names]
+    out = rows.orderBy(F.desc("_score"), *ties)
+    return (out if top is None else out.limit(top)).select(*[F.col(f"`{c}`") for c in names], "_score")
+
+
+_PLAIN = {"tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "boolean"}
 
 
 def search(df: DataFrame, query: str, top: int | None = TOP) -> DataFrame:
-    """Rows that match, with ``_score``, best first; ties in the order of the rows' texts.
+    """Rows that match, with ``_score``, best first.
 
-    Terms of a query are few, so a row's term counts are expressions over its own text: one scan
-    ranks, one aggregate gives the corpus figures, nothing is shuffled but the ``top`` best."""
+    Only rows that hold a word of the query as a string anywhere are split into words at all.  One
+    aggregate gives the corpus figures; what is sorted are the matches, by score and short keys."""
     q = parse_query(query)
-    terms = list(dict.fromkeys(q.should + q.must))
-    count = lambda c, w: (F.length(F.col(f"_text_{c or ''}")) - F.length(F.replace(F.col(f"_text_{c or ''}"), F.lit(f" {w} "), F.lit("  ")))) / F.lit(len(w))
-    columns = {c for c, _ in terms + q.never} | {c for c, _, _ in q.phrases} | {None}
+    terms = q.terms
+    if not terms:
+        return df.withColumn("_score", F.lit(0.0)).limit(0)
+    any_word = F.lit(False)
+    for _, w in terms:
+        any_word = any_word | F.contains(F.col("_joined"), F.lit(w))
+    sized = df.withColumn("_joined", _joined(df))
+    columns = {c for c, _ in terms + q.never} | {c for c, _, _ in q.phrases}
     # Spaces are doubled so that neighbours that are the same word are both counted.
-    texts = df.withColumns({f"_text_{c or ''}": F.replace(text_of(df, c), F.lit(" "), F.lit("  ")) for c in columns})
-    texts = texts.withColumns({f"_tf{i}": count(c, w) for i, (c, w) in enumerate(terms)} | {"_len": F.size(F.split(F.trim(F.col("_text_")), "  "))})
-    figures = texts.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
-    n, average = figures["n"], figures["avg"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        seen = figures[f"df{i}"] or 0
-        idf = math.log(1 + (n - seen + 0.5) / (seen + 0.5))
-        tf = F.col(f"_tf{i}")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / average))
-    keep = score > 0
-    for i, term in enumerate(terms):
-        if term in q.must:
-            keep = keep & (F.col(f"_tf{i}") > 0)
-    for c, w in q.never:
-        keep = keep & (count(c, w) == 0)
-    for c, words, wanted in q.phrases:
-        held = F.contains(F.col(f"_text_{c or ''}"), F.lit(" " + "  ".join(words) + " "))
-        keep = keep & (held if wanted else ~held)
-    out = texts.filter(keep).withColumn("_score", score).orderBy(F.desc("_score"), "_text_", *[F.col(f"`{c}`").cast("string") for c in df.columns])
-    out = out if top is None else out.limit(top)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_score")
+    texts = sized.filter(any_word).withColumns({f"_text_{c or ''}": F.replace(text_of(df, c), F.lit(" "), F.lit("  ")) for c in columns})
+    count = lambda c, w: (F.length(F.col(f"_text_{c or ''}")) - F.length(F.replace(F.col(f"_text_{c or ''}"), F.lit(f" {w} "), F.lit("  ")))) / F.lit(len(w))
+    # An array of counts is one expression, which the optimiser doesn't copy into each of its uses.
+    asked = [*terms, *q.never]
+    held = [(c, words, wanted) for c, words, wanted in q.phrases]
+    found = [F.contains(F.col(f"_text_{c or ''}"), F.lit(" " + "  ".join(words) + " ")).cast("double") for c, words, _ in held]
+    counted = texts.withColumn("_tf", F.array(*[count(c, w) for c, w in asked], *found)).select(*[F.col(f"`{c}`") for c in df.columns], "_tf", F.greatest(F.regexp_count("_joined", F.lit(_WORD)), F.lit(1)).alias("_len"))
+    rows = df.agg(F.count(F.lit(1)).alias("n"), F.avg(length_of(df)).alias("avg")).first()
+    holding = counted.agg(*[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    n, average = rows["n"], rows["avg"] or 1.0
+    score, keep = F.lit(0.0), F.lit(True)
+    for i, term in enumerate(asked):
+        tf = F.col("_tf")[i]
+        if i < len(terms):
+            score = score + _part(_idf(n, holding[f"df{i}"] or 0), tf, F.col("_len"), average)
+            keep = keep & (tf > 0) if term in q.must else keep
+        else:
+            keep = keep & (tf == 0)
+    for i, (_, _, wanted) in enumerate(held, len(asked)):
+        keep = keep & (F.col("_tf")[i] == (1.0 if wanted else 0.0))
+    matched = counted.filter(keep).withColumn("_score", score).filter("_score > 0")
+    return _best(matched, df.columns, top)
 
 
 #: Folders of an index's postings; a query opens those of its own terms.
 BUCKETS = 64
+_SEGMENT = {"postings": "_row long, field string, term string, tf long, bucket int", "lengths": "_row long, length int"}
+
+
+def write_segment(rows: DataFrame, path: str) -> None:
+    """Postings and lengths of ``rows``, which have numbers ``_row`` that stay the same at every reading."""
+    df = rows.drop("_row")
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.split(F.trim(text_of(df, c)), " ").alias("terms")) for c in df.columns])
+    terms = rows.select("_row", F.explode(fields).alias("f")).select("_row", "f.field", F.explode("f.terms").alias("term")).filter("term <> ''")
+    # Terms of a row are counted where the row is read: a very common word needs no group of its own.
+    counted = terms.groupBy("_row", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.select("_row", length_of(df).alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 class SearchIndex:
-    """Postings and lengths of a table, written once; a query reads its own terms' postings only.
+    """A search over segments: ``segments`` are (folder, rows with ``_row``, which rows of it count).
 
-    Phrases are checked on the rows that their words leave."""
+    Rows are told apart by segment and number.  A query reads its own terms' postings only; phrases are
+    checked on the rows that their words leave."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.rows, self.postings, self.lengths = (spark.read.parquet(f"{path}/{n}") for n in ("rows", "postings", "lengths"))
+    def __init__(self, spark: SparkSession, segments: list[tuple[str, DataFrame]]):
+        self.spark, self.segments = spark, segments
+        self.lengths = self._all("lengths")
         self.figures = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
 
+    def _all(self, kind: str) -> DataFrame:
+        out = None
+        for k, (path, _) in enumerate(self.segments):
+            own = self.spark.read.schema(_SEGMENT[kind]).parquet(f"{path}/{kind}").withColumn("_segment", F.lit(k))
+            out = own if out is None else out.unionByName(own)
+        return out
+
     @staticmethod
     def build(df: DataFrame, path: str) -> SearchIndex:
+        """An index of any DataFrame, with a copy of its rows."""
         spark = df.sparkSession
         df.withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
-        fields = F.array(*[F.struct(F.lit(c).alias("field"), F.split(F.trim(text_of(df, c)), " ").alias("terms")) for c in df.columns])
-        terms = rows.select("_row", F.explode(fields).alias("f")).select("_row", "f.field", F.explode("f.terms").alias("term")).filter("term <> ''")
-        # Terms of a row are counted where the row is read: a very common word needs no group of its own.
-        counted = terms.groupBy("_row", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
-        counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        rows.select("_row", F.size(F.split(F.trim(text_of(df)), " ")).alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
-        return SearchIndex(spark, path)
+        write_segment(rows, path)
+        return SearchIndex(spark, [(path, rows)])
 
     def search(self, query: str, top: int | None = TOP) -> DataFrame:
         q = parse_query(query)
-        terms = list(dict.fromkeys(q.should + q.must))
+        terms = q.terms
+        names = [c for c in self.segments[0][1].columns if c != "_row"]
+        rows = None
+        for k, (_, own) in enumerate(self.segments):
+            own = own.withColumn("_segment", F.lit(k))
+            rows = own if rows is None else rows.unionByName(own)
+        if not terms:
+            return rows.select(*names, F.lit(0.0).alias("_score")).limit(0)
         asked = terms + q.never
         words = sorted({w for _, w in asked})
-        spark = self.rows.sparkSession
-        wanted = [r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).collect()] if words else []
-        own = self.postings.filter(F.col("bucket").isin(*wanted or [-1]) & F.col("term").isin(*words or [""]))
+        buckets = self.spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).collect()
+        own = self._all("postings").filter(F.col("bucket").isin(*[r[0] for r in buckets]) & F.col("term").isin(*words))
         held = lambda c, w: F.sum(F.when((F.col("term") == w) & (F.lit(True) if c is None else F.col("field") == c), F.col("tf")).otherwise(0))
-        found = own.groupBy("_row").agg(*[held(c, w).alias(f"_tf{i}") for i, (c, w) in enumerate(asked)]) if asked else own.select("_row").limit(0)
-        scored = found.join(self.lengths, "_row")
-        seen = found.agg(*[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))]).first() if asked else None
-        n, average, score = self.figures["n"], self.figures["avg"] or 1.0, F.lit(0.0)
-        for i in range(len(terms)):
-            df = seen[f"df{i}"] or 0
-            tf = F.col(f"_tf{i}")
-            score = score + F.lit(math.log(1 + (n - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / average))
-        keep = score > 0
+        found = own.groupBy("_segment", "_row").agg(*[held(c, w).alias(f"_tf{i}") for i, (c, w) in enumerate(asked)])
+        seen = found.agg(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+        score, keep = F.lit(0.0), F.lit(True)
         for i, term in enumerate(asked):
-            keep = keep & (F.col(f"_tf{i}") > 0) if term in q.must else keep & (F.col(f"_tf{i}") == 0) if i >= len(terms) else keep
-        out = scored.filter(keep).select("_row", score.alias("_score")).join(self.rows, "_row")
+            tf = F.col(f"_tf{i}")
+            if i < len(terms):
+                score = score + _part(_idf(self.figures["n"], seen[f"df{i}"] or 0), tf, F.col("length"), self.figures["avg"] or 1.0)
+                keep = keep & (tf > 0) if term in q.must else keep
+            else:
+                keep = keep & (tf == 0)
+        scored = found.filter(keep).join(self.lengths, ["_segment", "_row"]).select("_segment", "_row", score.alias("_score")).filter("_score > 0")
+        out = rows.join(scored, ["_segment", "_row"])
         for c, phrase, good in q.phrases:
-            text = text_of(self.rows.drop("_row"), c)
-            has = F.contains(text, F.lit(" " + " ".join(phrase) + " "))
+            has = F.contains(text_of(rows.drop("_row", "_segment"), c), F.lit(" " + " ".join(phrase) + " "))
             out = out.filter(has if good else ~has)
-        names = [c for c in self.rows.columns if c != "_row"]
-        out = out.orderBy(F.desc("_score"), text_of(self.rows.drop("_row")), *[F.col(f"`{c}`").cast("string") for c in names])
-        return (out if top is None else out.limit(top)).select(*[F.col(f"`{c}`") for c in names], "_score")
+        return _best(out, names, top)
+
+
+def table_index(spark: SparkSession, files: list[tuple[str, DataFrame]], segments: dict[str, str], place: Callable[[str], str]) -> SearchIndex:
+    """The index of a table's files: segments that are missing are made.  A row's number is its file's in
+    the folder and its place in it."""
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long") * (1 << 40) + F.col("_metadata.row_index")
+    out = []
+    for path, rows in files:
+        numbered = rows.select("*", number.alias("_row"))
+        if path not in segments:
+            segments[path] = place(path)
+            write_segment(numbered, segments[path])
+        out.append((segments[path], numbered))
+    return SearchIndex(spark, out)

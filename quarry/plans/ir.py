@@ -203,6 +203,10 @@ class _AnyValue:
             return {"Null": e.isNull(), "NotNull": e.isNotNull(), "True": e.eqNullSafe(F.lit(True)), "False": e.eqNullSafe(F.lit(False))}[body[1]]
         if kind == "Like":
             return self.value(body[0]).like(body[1])
+        if kind in ("InSubquery", "Exists"):
+            if kind == "Exists":
+                return self.cx.subquery(body, self.cx.names).exists()
+            return self.value(body[0]).isin(self.cx.subquery(body[1], self.cx.names))
         raise SqlError(f"the condition {kind} can't be used in HAVING")
 
     def value(self, x: object):
