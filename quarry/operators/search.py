@@ -59,9 +59,13 @@ def parse_query(text: str) -> Query:
     return out
 
 
-def _joined(df: DataFrame, column: str | None = None) -> Column:
+def _raw(df: DataFrame, column: str | None = None) -> Column:
     names = [column] if column else df.columns
-    return F.lower(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in names]))
+    return F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in names])
+
+
+def _joined(df: DataFrame, column: str | None = None) -> Column:
+    return F.lower(_raw(df, column))
 
 
 def text_of(df: DataFrame, column: str | None = None) -> Column:
@@ -71,7 +75,7 @@ def text_of(df: DataFrame, column: str | None = None) -> Column:
 
 def length_of(df: DataFrame) -> Column:
     """The words of a row; a row without words counts as one."""
-    return F.greatest(F.regexp_count(_joined(df), F.lit(_WORD)), F.lit(1))
+    return F.greatest(F.regexp_count(_raw(df), F.lit(_WORD)), F.lit(1))
 
 
 def _idf(rows: int, holding: int) -> float:
@@ -96,27 +100,32 @@ _PLAIN = {"tinyint", "smallint", "int", "bigint", "float", "double", "date", "ti
 def search(df: DataFrame, query: str, top: int | None = TOP) -> DataFrame:
     """Rows that match, with ``_score``, best first.
 
-    Only rows that hold a word of the query as a string anywhere are split into words at all.  One
-    aggregate gives the corpus figures; what is sorted are the matches, by score and short keys."""
+    Only rows that hold a word of the query as a string anywhere are split into words at all.  One scan
+    gives the corpus figures, one the matches, which are sorted by score and short keys."""
     q = parse_query(query)
     terms = q.terms
     if not terms:
         return df.withColumn("_score", F.lit(0.0)).limit(0)
-    any_word = F.lit(False)
-    for _, w in terms:
-        any_word = any_word | F.contains(F.col("_joined"), F.lit(w))
-    sized = df.withColumn("_joined", _joined(df))
     columns = {c for c, _ in terms + q.never} | {c for c, _, _ in q.phrases}
+    asked = [*terms, *q.never]
     # Spaces are doubled so that neighbours that are the same word are both counted.
-    texts = sized.filter(any_word).withColumns({f"_text_{c or ''}": F.replace(text_of(df, c), F.lit(" "), F.lit("  ")) for c in columns})
+    double = lambda text: F.replace(text, F.lit(" "), F.lit("  "))
     count = lambda c, w: (F.length(F.col(f"_text_{c or ''}")) - F.length(F.replace(F.col(f"_text_{c or ''}"), F.lit(f" {w} "), F.lit("  ")))) / F.lit(len(w))
-    # An array of counts is one expression, which the optimiser doesn't copy into each of its uses.
-    asked = [*terms, *q.never]
-    held = [(c, words, wanted) for c, words, wanted in q.phrases]
-    found = [F.contains(F.col(f"_text_{c or ''}"), F.lit(" " + "  ".join(words) + " ")).cast("double") for c, words, _ in held]
-    counted = texts.withColumn("_tf", F.array(*[count(c, w) for c, w in asked], *found)).select(*[F.col(f"`{c}`") for c in df.columns], "_tf", F.greatest(F.regexp_count("_joined", F.lit(_WORD)), F.lit(1)).alias("_len"))
-    rows = df.agg(F.count(F.lit(1)).alias("n"), F.avg(length_of(df)).alias("avg")).first()
-    holding = counted.agg(*[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    held = [F.contains(F.col(f"_text_{c or ''}"), F.lit(" " + "  ".join(words) + " ")).cast("double") for c, words, _ in q.phrases]
+
+    def counted(of: DataFrame, length: Column) -> DataFrame:
+        """Rows that hold a word as a string, with an array of counts: one expression, which the
+        optimiser doesn't copy into each of its uses."""
+        any_word = F.lit(False)
+        for _, w in terms:
+            any_word = any_word | F.contains(F.col("_joined"), F.lit(w))
+        texts = of.withColumn("_joined", _joined(df)).withColumn("_may", any_word)
+        texts = texts.withColumns({f"_text_{c or ''}": F.when(F.col("_may"), double(text_of(df, c))) for c in columns})
+        return texts.withColumn("_tf", F.array(*[F.coalesce(count(c, w), F.lit(0.0)) for c, w in asked], *held)).withColumn("_len", length)
+
+    # One scan for the figures of all rows, one for the matches.
+    figures = counted(df, length_of(df)).agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    rows = holding = figures
     n, average = rows["n"], rows["avg"] or 1.0
     score, keep = F.lit(0.0), F.lit(True)
     for i, term in enumerate(asked):
@@ -126,9 +135,15 @@ def search(df: DataFrame, query: str, top: int | None = TOP) -> DataFrame:
             keep = keep & (tf > 0) if term in q.must else keep
         else:
             keep = keep & (tf == 0)
-    for i, (_, _, wanted) in enumerate(held, len(asked)):
+    for i, (_, _, wanted) in enumerate(q.phrases, len(asked)):
         keep = keep & (F.col("_tf")[i] == (1.0 if wanted else 0.0))
-    matched = counted.filter(keep).withColumn("_score", score).filter("_score > 0")
+    if not q.must:  # else a word that must be there is
+        keep = keep & F.exists(F.slice("_tf", 1, len(terms)), lambda x: x > 0)
+    # Rows without any word are left out before they are split into words.
+    any_word = F.lit(False)
+    for _, w in terms:
+        any_word = any_word | F.contains(_joined(df), F.lit(w))
+    matched = counted(df.filter(any_word), length_of(df)).filter(keep).withColumn("_score", score)
     return _best(matched, df.columns, top)
 
 

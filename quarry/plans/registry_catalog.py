@@ -474,6 +474,49 @@ def publish_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, found | {"after": c.publish("news", "b")})
 
 
+# Functions of one's own, and joins on order
+@query("SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_orderstatus")
+def aggregate_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pandas as pd
+
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    e = engine(spark, sf_dir)
+    e.register_function("spread_of", F.pandas_udf(spread, "double", F.PandasUDFType.GROUPED_AGG))
+    return e.sql("SELECT o_orderstatus, spread_of(o_totalprice) AS spread FROM orders GROUP BY o_orderstatus")
+
+
+@query("SELECT n_nationkey, unnest(range(n_nationkey % 3)) AS k FROM nation")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    class Below:
+        def eval(self, n: int):
+            for k in range(n):
+                yield (k,)
+
+    e = engine(spark, sf_dir)
+    e.register_function("below", F.udtf(Below, returnType="k: bigint"))
+    return e.sql("SELECT n_nationkey, b.k FROM nation, LATERAL below(CAST(n_nationkey % 3 AS INT)) b")
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts, max(event_id) AS bought FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL GROUP BY user_id, ts) SELECT e.event_id, p.bought FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the user's last purchase before it."""
+    from ..operators.joins import asof_join
+
+    e = table(spark, sf_dir, "events").filter("user_id is not null or event_type = 'click'")
+    bought = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("bought"))
+    return asof_join(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), bought, "ts", ["user_id"]).select("event_id", "bought")
+
+
+@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 40")
+def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.joins import interval_join
+
+    spans = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") + 40).alias("top"))
+    return interval_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), spans, "p_retailprice", "s_acctbal", "top", 50).select("p_partkey", "s_suppkey")
+
+
 # Sources, logs and streams
 @query("SELECT n_nationkey, n_name, n_regionkey, kind FROM nation, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) t(kind)")
 def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

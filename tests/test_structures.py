@@ -6,6 +6,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import asof_join, interval_join
 from quarry.operators.kv import Channels, KeyValue
 from quarry.operators.search import SearchIndex, parse_query, search
 from quarry.session import Engine
@@ -115,6 +116,27 @@ def test_append_log(spark, tmp_path):
     assert spark.sql("SELECT * FROM log_out").count() == 4
 
 
+def test_writers_of_a_log_take_different_ids(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/log"
+    with ThreadPoolExecutor(4) as pool:
+        taken = [i for ids in pool.map(lambda _: AppendLog(spark, path).append("k", [{"a": "1"}, {"a": "2"}]), range(6)) for i in ids]
+    assert sorted(taken) == list(range(1, 13)) and AppendLog(spark, path).length("k") == 12
+
+
+def test_joins_on_order(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 3), (5, "a", None)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 6, "z"), (None, 1, "n"), ("b", None, "q")], "k string, t int, v string")
+    assert sorted((r["id"], r["v"]) for r in asof_join(left, right, "t", ["k"]).collect()) == [(1, "y"), (2, None), (3, None), (4, "n"), (5, None)]
+    assert asof_join(left.limit(0), right, "t", ["k"]).count() == 0
+    points = spark.createDataFrame([(float(x),) for x in (-1, 0, 4.9, 5, 30)], "x double")
+    spans = spark.createDataFrame([(1, 0.0, 5.0), (2, -3.0, 31.0), (3, 7.0, 7.0)], "s int, lo double, hi double")
+    assert sorted((r["x"], r["s"]) for r in interval_join(points, spans, "x", "lo", "hi", 4).collect()) == [(-1, 2), (0, 1), (0, 2), (4.9, 1), (4.9, 2), (5, 2), (30, 2)]
+    with pytest.raises(ValueError):
+        asof_join(left, right.withColumnRenamed("v", "id"), "t", ["k"])
+
+
 def test_windows_stream_as_batch(spark, tmp_path):
     ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     ev.repartition(3).write.parquet(f"file://{tmp_path}/ev")
