@@ -58,8 +58,6 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
-    # Participants of a conversation, one row each: repeated ones go before the exchange.
-    people = t.filter("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("participant")).distinct()
     # A part is an ordered list of bounded length; its participants are joined to it, not to turns.
     first_turn = (F.col("place") - F.col("place") % part).alias("first_turn")
     long = saved(t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part).select(F.col("conv_id").alias("_c"), F.lit(True).alias("_long")), "long-dialogues")
@@ -68,10 +66,15 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     short = marked if long.isEmpty() else marked.filter("_long is null").drop("_long")
     ordered = short.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.md5("text").alias("digest"), "text"))).alias("turns"))
     ordered = ordered.select("conv_id", F.lit(0).cast("long").alias("first_turn"), F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    roles = F.array_distinct(F.filter(F.transform("turns", lambda x: x["role"]), lambda r: r != "system"))
+    each = ordered.select("conv_id", "first_turn", "turns", F.explode(roles).alias("participant"))
     if not long.isEmpty():
-        parted = placed(marked.filter("_long").drop("_long")).groupBy("conv_id", first_turn).agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
-        ordered = ordered.unionByName(parted.select("conv_id", "first_turn", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")))
-    each = ordered.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+        many = marked.filter("_long").drop("_long")
+        # Participants of a dialogue, one row each: repeated ones go before the exchange.
+        people = many.filter("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("participant")).distinct()
+        parted = placed(many).groupBy("conv_id", first_turn).agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+        parted = parted.select("conv_id", "first_turn", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+        each = each.unionByName(parted.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c"))
     own = lambda x: x["role"] == F.col("participant")
     head = lambda x: F.when(own(x), F.lit(f"{BEGIN}assistant\n")).when(x["role"] == "system", F.lit(f"{BEGIN}system\n")).otherwise(F.concat(F.lit(f"{BEGIN}user name="), F.replace(F.regexp_replace(x["role"], r"\s", "_"), F.lit("<|"), F.lit("< |")), F.lit("\n")))
     parts = each.select("conv_id", "participant", "first_turn", F.transform("turns", lambda x: F.struct(head(x).alias("head"), F.concat(x["text"], F.lit(END)).alias("body"), own(x).alias("own"))).alias("parts"))
