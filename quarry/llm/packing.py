@@ -113,10 +113,13 @@ def even_lengths(bin_: list[tuple[int, int, int]], max_tokens: int) -> list[list
 
 
 @bounded_batches
-def pack_examples(examples: DataFrame, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048) -> DataFrame:
-    """Place whole instruction examples ``(example_id long, n_tokens long, n_loss long)``:
-    returns example_id, sequence_id, offset.  Examples larger than a sequence are an error;
-    rows with null counts count as 0 tokens and are placed at no cost."""
+def pack_examples(examples: DataFrame, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048, ids: tuple[str, ...] = ("example_id",), oversize: str = "error") -> DataFrame:
+    """Place whole instruction examples ``(ids..., n_tokens long, n_loss long)``: returns their ids,
+    sequence_id, offset.  Examples larger than a sequence are an error, or with ``oversize`` "alone"
+    sequences of their own; rows with null counts count as 0 tokens and are placed at no cost."""
+    if oversize not in ("error", "alone"):
+        raise ValueError("oversize must be error or alone")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.select(*ids).schema) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, block, held = TaskContext.get().partitionId() << 32, [], 0
@@ -124,25 +127,49 @@ def pack_examples(examples: DataFrame, max_tokens: int = 2048, max_segments: int
             block.append(batch)
             held += batch.num_rows
             if held >= BLOCK:
-                out, base = place(block, base)
-                yield out
+                placed, base = place(block, base)
+                yield placed
                 block, held = [], 0
         if held:
             yield place(block, base)[0]
 
     def place(block: list[pa.RecordBatch], base: int) -> tuple[pa.RecordBatch, int]:
         table = pa.Table.from_batches(block)
-        ids = table.column("example_id").to_pylist()
-        tokens, loss = (np.array([x or 0 for x in table.column(c).to_pylist()], np.int64) for c in ("n_tokens", "n_loss"))
-        rows = []
-        for k, own in enumerate(bins := dot_product_pack(tokens, loss, max_tokens, max_segments, max_loss)):
+        tokens, loss = (np.array([x or 0 for x in table.column(c).to_pylist()], np.int64) for c in ("_tokens", "_loss"))
+        large = (tokens > max_tokens) | (loss > max_loss) if oversize == "alone" else np.zeros(len(tokens), bool)
+        own = np.flatnonzero(~large)
+        bins = [[(int(i), 0, int(tokens[i]))] for i in np.flatnonzero(large)]
+        bins += [[(int(own[i]), start, n) for i, start, n in bin_] for bin_ in dot_product_pack(tokens[own], loss[own], max_tokens, max_segments, max_loss)]
+        rows, sequences, offsets = [], [], []
+        for k, bin_ in enumerate(bins):
             offset = 0
-            for i, _, n in own:
-                rows.append((ids[i], base + k, offset))
+            for i, _, n in bin_:
+                rows.append(i)
+                sequences.append(base + k)
+                offsets.append(offset)
                 offset += n
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["example_id", "sequence_id", "offset"]), base + len(bins)
+        kept = table.select(list(ids)).take(pa.array(rows, pa.int64())).combine_chunks()
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept.columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], names=[*ids, "sequence_id", "offset"]), base + len(bins)
 
-    return examples.select(*[F.col(c).cast("long") for c in ("example_id", "n_tokens", "n_loss")]).mapInArrow(run, "example_id long, sequence_id long, offset long")
+    return examples.select(*ids, *[F.col(f"n_{c}").cast("long").alias(f"_{c}") for c in ("tokens", "loss")]).mapInArrow(run, out)
+
+
+@bounded_batches
+def dialogue_examples(views: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Rows of ``perspectives`` as instruction examples: conv_id, participant, first_turn, n_tokens of the
+    rendered text, and n_loss of the spans that bear loss, each encoded by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path)
+        for batch in batches:
+            tokens, loss = [], []
+            for text, mask in zip(batch.column("rendered").to_pylist(), batch.column("mask").to_pylist(), strict=True):
+                tokens.append(len(enc.encode(text.encode())) // 4)
+                loss.append(sum(len(enc.encode(text[m["start"] : m["end"]].encode())) // 4 for m in mask))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "participant", "first_turn")), pa.array(tokens, pa.int64()), pa.array(loss, pa.int64())], names=["conv_id", "participant", "first_turn", "n_tokens", "n_loss"])
+
+    return views.select("conv_id", "participant", "first_turn", "rendered", "mask").mapInArrow(run, "conv_id long, participant string, first_turn long, n_tokens long, n_loss long")
 
 
 @bounded_batches

@@ -12,7 +12,7 @@ from .compaction import compacted
 from .decontam import contaminated
 from .neardup import near_duplicates
 from .outliers import quality_verdicts
-from .packing import pack_documents
+from .packing import dialogue_examples, pack_documents, pack_examples
 from .perspectives import perspectives
 from .suffixdedup import suffix_dedup
 from .tokenfile import token_digest
@@ -71,8 +71,15 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "participant", "first_turn", "n_turns", F.md5("rendered").alias("rendered_md5"), F.length("rendered").cast("long").alias("n_chars"), spans.alias("mask_spans"), "n_masked")
 
 
+def packed_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector packing of instruction data: each participant's view of a dialogue is an example, of which
+    only that participant's turns bear loss; sequences of 4096 tokens, 16 examples and 1536 of loss."""
+    examples = dialogue_examples(perspectives(table(spark, sf_dir, "conversations")), TOKENIZER)
+    return pack_examples(examples, 4096, 16, 1536, ("conv_id", "participant", "first_turn", "n_tokens", "n_loss"), "alone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality, op4_decontamination, op5_packing, op6_sharding, op7_near_duplicates, op8_suffix_dedup, op9_token_records, op10_perspectives)
+    f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality, op4_decontamination, op5_packing, op6_sharding, op7_near_duplicates, op8_suffix_dedup, op9_token_records, op10_perspectives, packed_dialogues)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

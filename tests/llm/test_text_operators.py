@@ -427,6 +427,28 @@ def test_pack_examples(spark):
     assert packing.pack_examples(empty_like(df), 64).count() == 0
 
 
+def test_dialogues_are_packed_by_their_loss(spark, tokenizer):
+    """Every limit holds in every sequence but those of one oversized example, and loss binds somewhere."""
+    from quarry.llm import perspectives, queries
+
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    views = {(r["conv_id"], r["participant"], r["first_turn"]): r for r in perspectives.perspectives(turns).collect()}
+    out = queries.packed_dialogues(spark, SF).collect()
+    assert {(r["conv_id"], r["participant"], r["first_turn"]) for r in out} == set(views) and len(out) == len(views)
+    sequences = {}
+    for r in out:
+        view = views[r["conv_id"], r["participant"], r["first_turn"]]
+        ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids(view["rendered"])) and r["n_loss"] == sum(len(ids(view["rendered"][m["start"] : m["end"]])) for m in view["mask"])
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for own in sequences.values():
+        own.sort(key=lambda r: (r["offset"], r["n_tokens"]))
+        assert [r["offset"] for r in own] == [sum(x["n_tokens"] for x in own[:k]) for k in range(len(own))]
+        if len(own) > 1:
+            assert sum(r["n_tokens"] for r in own) <= 4096 and sum(r["n_loss"] for r in own) <= 1536 and len(own) <= 16
+    assert any(sum(r["n_loss"] for r in own) > 1300 and sum(r["n_tokens"] for r in own) < 3900 for own in sequences.values())
+
+
 # Decontamination ---------------------------------------------------------------------------------
 
 
