@@ -54,6 +54,7 @@ class ShardedTable:
 
     def __init__(self, spark: SparkSession, root: str, schema: StructType, target: int = 128 << 20, least: int = 256 << 10, fanout: int = 4, lease: float = 7 * 86400):
         self.lease = lease
+        self._known: dict[int, list[Shard]] = {}  # the version last read or written
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.target, self.least, self.fanout = target, least, fanout
         self._path = spark._jvm.org.apache.hadoop.fs.Path
@@ -70,8 +71,13 @@ class ShardedTable:
         version = self.version() if version is None else version
         if not version:
             return []
-        rows = self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()
-        return [Shard(**x) for x in json.loads(rows["value"])["shards"]]
+        found = self._known.get(version)  # a version never changes
+        if found is None:
+            held = self._fs.open(self._path(f"{self.root}/manifests/v{version:08d}.json"))
+            found = [Shard(**x) for x in json.loads(bytes(held.readAllBytes()))["shards"]]
+            held.close()
+            self._known = {version: found}
+        return list(found)
 
     def commit(self, base: int, shards: list[Shard]) -> int:
         """Make ``shards`` version base + 1, in one step or not at all."""
@@ -91,6 +97,7 @@ class ShardedTable:
             if self._fs.exists(final):
                 raise Conflict(f"version {version} exists") from e
             raise
+        self._known = {version: list(shards)}
         return version
 
     def _written(self, folder: str) -> list[Shard]:
@@ -138,10 +145,9 @@ class ShardedTable:
                 arrivals.setdefault(shard.path.rpartition("/")[0], []).append(shard)
             waiting = {s.path for own in arrivals.values() for s in own}
             for own in arrivals.values():
-                self._commit_on(lambda shards, own=own: shards + own)
+                before = self._commit_on(lambda shards, own=own: shards + own)
                 waiting -= {s.path for s in own}
-                self.compact()
-                if keep is not None:
+                if self.compact() != before and keep is not None:
                     self.vacuum(keep, folder.rpartition("/")[2], waiting)
         return self.version()
 
