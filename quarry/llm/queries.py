@@ -114,6 +114,22 @@ WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
      r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT y.b, r.c FROM r JOIN y ON y.a = r.doc_id),
      m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, m.c = s.doc_id AS kept FROM s JOIN m USING (doc_id)""",
+    # Windows of 100 bytes as hex digits, a piece of 500 windows at a time: all but the first of equal ones go.
+    "op8_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     c AS (SELECT r, length(h) // 2 - 99 AS n, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT), 500)) AS base, h FROM d),
+     u AS (SELECT r, n, base, substr(h, CAST(2 * base + 1 AS BIGINT), 1198) AS piece FROM c),
+     w AS (SELECT r, base, unnest(range(0, CAST(least(500, n - base) AS BIGINT))) AS k, piece FROM u),
+     e AS (SELECT r << 32 | (base + k) AS place, md5_number(substr(piece, CAST(2 * k + 1 AS BIGINT), 200)) AS m FROM w),
+     f AS (SELECT place >> 32 AS r, place & 4294967295 AS i FROM e WHERE place NOT IN (SELECT min(place) FROM e GROUP BY m)),
+     g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM f),
+     n AS (SELECT r, i, sum(CASE WHEN i <= p + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+     s AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY r, span),
+     q AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM s),
+     x AS (SELECT q.r, sum(b - a) AS gone, count(*) AS spans, max(b) AS tail, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS kept FROM q JOIN d ON d.r = q.r GROUP BY q.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(tail, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN x USING (r)""",
     "op10_perspectives": r"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
      p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
