@@ -8,6 +8,9 @@ anew from the version that won: an append adds its shards to that one, a merge w
 still there takes them out of it.  Readers use the files that one manifest names, so they see whole
 versions only; files of failed tasks and lost races are named by none.
 
+While arrivals are committed one by one, up to ``MERGES`` merges run beside them.  A merge claims its
+shards, so no other of this process takes them.
+
 A writer announces its folder in ``writing`` before it writes and withdraws it after it has committed;
 ``vacuum`` leaves announced folders alone, unless the announcement is older than ``lease`` seconds.
 
@@ -22,9 +25,12 @@ import json
 import math
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,6 +38,8 @@ from pyspark.sql.types import StructType
 from .common import fresh_path
 
 ARRIVAL = "_arrival"
+#: Merges that run at a time while arrivals are committed.
+MERGES = 4
 
 
 class Conflict(RuntimeError):
@@ -55,6 +63,8 @@ class ShardedTable:
     def __init__(self, spark: SparkSession, root: str, schema: StructType, target: int = 128 << 20, least: int = 256 << 10, fanout: int = 4, lease: float = 7 * 86400):
         self.lease = lease
         self._known: dict[int, list[Shard]] = {}  # the version last read or written
+        self._claimed: set[str] = set()  # shards that a merge of this process is reading
+        self._claiming, self._deleting = Lock(), Lock()
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.target, self.least, self.fanout = target, least, fanout
         self._path = spark._jvm.org.apache.hadoop.fs.Path
@@ -131,8 +141,8 @@ class ShardedTable:
 
     def append(self, df: DataFrame, arrival: Column | None = None, keep: int | None = None) -> int:
         """Commit the rows as new shards; returns the version.  With ``arrival``, the rows of each value of
-        it are an arrival: written in one pass, then committed one by one, each with the merges that are due.
-        ``keep``: delete as ``vacuum`` does after each."""
+        it are an arrival: written in one pass, then committed one by one; the merges that are due after each
+        run beside the next commits, and all are done at the end.  ``keep``: delete as ``vacuum`` does after them."""
         if ARRIVAL in df.columns:
             raise ValueError(f"a column is named {ARRIVAL}")
         with self._announced("a") as folder:
@@ -143,12 +153,20 @@ class ShardedTable:
             arrivals: dict[str, list[Shard]] = {}
             for shard in self._written(folder):
                 arrivals.setdefault(shard.path.rpartition("/")[0], []).append(shard)
-            waiting = {s.path for own in arrivals.values() for s in own}
-            for own in arrivals.values():
-                before = self._commit_on(lambda shards, own=own: shards + own)
-                waiting -= {s.path for s in own}
-                if self.compact() != before and keep is not None:
-                    self.vacuum(keep, folder.rpartition("/")[2], waiting)
+            waiting = frozenset(s.path for own in arrivals.values() for s in own)
+
+            def settle() -> None:
+                if self._settle() and keep is not None:
+                    self.vacuum(keep, folder.rpartition("/")[2], lambda: waiting)
+
+            with ThreadPoolExecutor(MERGES) as pool:
+                merges = []
+                for own in arrivals.values():
+                    self._commit_on(lambda shards, own=own: shards + own)
+                    waiting -= {s.path for s in own}
+                    merges.append(pool.submit(inheritable_thread_target(self.spark)(settle)))
+            for merge in merges:
+                merge.result()
         return self.version()
 
     def tier(self, size: int) -> int:
@@ -164,10 +182,29 @@ class ShardedTable:
 
     def compact(self) -> int:
         """Merge until no tier is due; each merge is a version of its own."""
-        while due := self.plan(self.shards()):
-            self._merge(due[0])
+        self._settle()
         return self.version()
 
+    def _settle(self) -> bool:
+        """Merge what is due and not claimed, until nothing is; whether there was any."""
+        merged = False
+        while own := self._claim():
+            try:
+                self._merge(own)
+            finally:
+                with self._claiming:
+                    self._claimed -= {s.path for s in own}
+            merged = True
+        return merged
+
+    def _claim(self) -> list[Shard]:
+        """A run that is due, of shards that no other merge of this process has; none: an empty list."""
+        with self._claiming:
+            due = self.plan([s for s in self.shards() if s.path not in self._claimed])
+            own = due[0] if due else []
+            self._claimed |= {s.path for s in own}
+            return own
+
     def _merge(self, own: list[Shard]) -> None:
         """Merge shards and commit, unless another writer has merged some of them already."""
         total = sum(s.bytes for s in own)
@@ -196,20 +233,25 @@ class ShardedTable:
         """The rows of a version, the last by default."""
         return self.read_shards(self.shards(version))
 
-    def vacuum(self, keep: int = 1, own: str | None = None, waiting: set[str] | None = None) -> int:
+    def vacuum(self, keep: int = 1, own: str | None = None, waiting: Callable[[], frozenset[str]] = frozenset) -> int:
         """Delete data files that none of the last ``keep`` versions names and no writer may still commit;
         returns how many.  Readers of older versions must be done.  Of the folder ``own``, which the caller
-        has announced, only the files ``waiting`` may still be committed."""
-        # In this order: what is committed meanwhile is announced, or named by a version that is read after.
-        written = self._written(f"{self.root}/data") if self._fs.exists(self._path(f"{self.root}/data")) else []
+        has announced, only the files ``waiting`` gives may still be committed."""
+        with self._deleting:  # one at a time: a listing fails where a file goes meanwhile
+            return self._vacuum(keep, own, waiting)
+
+    def _vacuum(self, keep: int, own: str | None, waiting: Callable[[], frozenset[str]]) -> int:
+        # In this order: a folder that is there was announced, so one without a note is committed by now, and
+        # named by a version that is read after.  Folders that are being written aren't looked into.
+        root, still = self._path(f"{self.root}/data"), waiting()
+        folders = [f.getPath() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
         notes = self._fs.listStatus(self._path(f"{self.root}/writing"))
         oldest = (time.time() - self.lease) * 1000
         busy = {n.getPath().getName() for n in notes if n.getModificationTime() >= oldest} - {own}
+        written = [s for f in folders if f.getName() not in busy for s in self._written(f.toString())]
         last = self.version()
-        named = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)} | (waiting or set())
-        data = self._path(f"{self.root}/data").toUri().getPath()
-        folder = lambda s: self._path(s.path).toUri().getPath()[len(data) + 1 :].partition("/")[0]
-        gone = [s for s in written if s.path not in named and folder(s) not in busy]
+        named = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)} | still
+        gone = [s for s in written if s.path not in named]
         for s in gone:
             self._fs.delete(self._path(s.path), False)
         return len(gone)
@@ -217,7 +259,7 @@ class ShardedTable:
 
 def compacted(docs: DataFrame, arrivals: int = 16, target: int = 128 << 20) -> DataFrame:
     """Append the rows in ``arrivals`` arrivals (by a hash of doc_id and text), one version after the
-    other with the merges that are due, and read the last version: all columns, as stored, with
+    other, beside the merges that are due, and read the last version: all columns, as stored, with
     ``shard`` (the place of the row's file in the manifest, null if it names no such file), ``tier``,
     ``tier_shards`` (shards of that tier that a merge may still take) and ``version``."""
     spark = docs.sparkSession
