@@ -126,6 +126,16 @@ def test_writers_that_lose_a_race_start_anew(spark):
     assert table.read().count() == 320
 
 
+def test_merges_beside_commits_and_vacuums(spark):
+    """Several appends of arrivals at once, each with merges and deletions beside it, lose no row."""
+    df = spark.range(60).repartition(3)
+    table = compaction.ShardedTable(spark, fresh_path(spark, "shards-beside"), df.schema, fanout=3)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: table.append(df, F.col("id") % 5, keep=1), range(3)))
+    assert sorted(r.id for r in table.read().collect()) == sorted(3 * list(range(60)))
+    assert not table.plan(table.shards()) and not table._claimed
+
+
 def test_commits_are_exclusive(spark):
     df = spark.range(10)
     table = compaction.ShardedTable(spark, fresh_path(spark, "shards-race"), df.schema)
