@@ -230,3 +230,29 @@ def test_create_statement_reads_back(e, spark):
     e.sql("""INSERT INTO c (id, price, body) VALUES (1, 2.50, '{"user": {"id": 123}}')""")
     assert rows(e.sql("SELECT id FROM c WHERE body.user.id = 123")) == [(1,)]
     assert rows(e.sql("SELECT x.kind FROM c x WHERE x.body.user.id > 100")) == [("a",)]
+
+
+def test_join_by_a_range_deals_rows_out_by_bins(spark):
+    """Few values of the equality and very many rows: pairs that are compared are hardly more than those that match."""
+    from pyspark.sql import functions as F
+
+    odd = [(i, 1, v) for i, v in enumerate([float("nan"), float("inf"), -float("inf"), None, 1e300, 1e18, 1e18 + 128, -0.0, 0.0, 4.999999999999999, 5.0, -1e-320, 9007199254740993.0, 9007199254740996.0])]
+    rows = odd + [(100 + i, i % 2, i * 0.1) for i in range(400)] + [(1000, None, 1.0)]
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame(rows, "id int, k int, x double"))
+    sql = "SELECT p.id AS a, q.id AS b FROM t p JOIN t q ON p.k = q.k AND p.x < q.x AND q.x - p.x < 5"
+    got = e.sql(sql)
+    nan = lambda v: v != v
+    less = lambda x, y: not nan(x) and (nan(y) or x < y)
+    want = sorted((a, b) for a, j, x in rows for b, k, y in rows if j is not None and j == k and x is not None and y is not None and less(x, y) and y - x < 5)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 9000
+    assert sorted(map(tuple, e.sql("SELECT p.id, q.id FROM t AS q INNER JOIN t AS p ON q.x - p.x < 5 AND p.k = q.k AND p.x < q.x WHERE p.id < 200").collect())) == [w for w in want if w[0] < 200]
+    # 20,000 rows of one key: 200 million pairs without bins.
+    e.register("u", spark.range(20000).select("id", F.lit(1).alias("k"), (F.col("id") / 8).alias("x")))
+    many = e.sql(sql.replace("t p", "u p").replace("t q", "u q"))
+    assert many.count() == sum(min(39, 19999 - i) for i in range(20000))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_band" in plan and "Broadcast" not in plan
+    # Types and shapes of other rules are left as they are.
+    assert e.sql("SELECT p.id FROM t p JOIN t q ON p.k = q.k AND p.id < q.id AND q.id - p.id < 2 OR p.id = q.id").count() > 0
+    assert e.sql("SELECT * FROM t p JOIN t q ON p.k = q.k AND p.x < q.x AND q.x - p.x < 5").columns == ["id", "k", "x"] * 2
