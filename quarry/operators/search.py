@@ -108,20 +108,24 @@ def search(df: DataFrame, query: str, top: int | None = TOP) -> DataFrame:
         return df.withColumn("_score", F.lit(0.0)).limit(0)
     columns = {c for c, _ in terms + q.never} | {c for c, _, _ in q.phrases}
     asked = [*terms, *q.never]
-    # Spaces are doubled so that neighbours that are the same word are both counted.
+    # Spaces are doubled so that neighbours that are the same word are both counted.  Bytes are counted, which
+    # texts know without being read.
     double = lambda text: F.replace(text, F.lit(" "), F.lit("  "))
-    count = lambda c, w: (F.length(F.col(f"_text_{c or ''}")) - F.length(F.replace(F.col(f"_text_{c or ''}"), F.lit(f" {w} "), F.lit("  ")))) / F.lit(len(w))
+    count = lambda c, w: (F.octet_length(F.col(f"_text_{c or ''}")) - F.octet_length(F.replace(F.col(f"_text_{c or ''}"), F.lit(f" {w} "), F.lit("  ")))) / F.lit(len(w.encode()))
     held = [F.contains(F.col(f"_text_{c or ''}"), F.lit(" " + "  ".join(words) + " ")).cast("double") for c, words, _ in q.phrases]
 
     def counted(of: DataFrame, length: Column) -> DataFrame:
-        """Rows that hold a word as a string, with an array of counts: one expression, which the
-        optimiser doesn't copy into each of its uses."""
+        """Rows that hold a word as a string, with an array of counts.
+
+        The counts pass through a generator of one row: the optimiser would copy a plain expression, and
+        the splitting of the text in it, into every use by a filter or a score."""
         any_word = F.lit(False)
         for _, w in terms:
             any_word = any_word | F.contains(F.col("_joined"), F.lit(w))
         texts = of.withColumn("_joined", _joined(df)).withColumn("_may", any_word)
-        texts = texts.withColumns({f"_text_{c or ''}": F.when(F.col("_may"), double(text_of(df, c))) for c in columns})
-        return texts.withColumn("_tf", F.array(*[F.coalesce(count(c, w), F.lit(0.0)) for c, w in asked], *held)).withColumn("_len", length)
+        texts = texts.withColumns({f"_text_{c or ''}": F.when(F.col("_may"), double(text_of(df, c))) for c in columns}).withColumn("_len", length)
+        counts = F.array(*[F.coalesce(count(c, w), F.lit(0.0)) for c, w in asked], *held)
+        return texts.select(*[F.col(f"`{c}`") for c in of.columns], "_len", F.explode(F.array(counts)).alias("_tf"))
 
     # One scan for the figures of all rows, one for the matches.
     figures = counted(df, length_of(df)).agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()

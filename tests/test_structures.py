@@ -87,6 +87,14 @@ def test_search(spark):
     assert e.sql("SEARCH d 'lazy'").columns[-1] == "_score"
 
 
+def test_search_splits_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "the die is cast, the THE die"), (2, "und die Größe größe"), (3, None), (4, "nothing")], "id int, text string")
+    found = search(docs, "the die größe")
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_replace(") == 1
+    assert [r["id"] for r in found.collect()] == [1, 2]
+    assert [r["id"] for r in search(docs, '+die -größe "the the die"').collect()] == [1]
+
+
 def test_search_index_is_the_scan(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     index = SearchIndex.build(docs, f"file://{tmp_path}/index")
