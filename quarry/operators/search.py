@@ -159,10 +159,15 @@ _SEGMENT = {"postings": "_row long, field string, term string, tf long, bucket i
 def write_segment(rows: DataFrame, path: str) -> None:
     """Postings and lengths of ``rows``, which have numbers ``_row`` that stay the same at every reading."""
     df = rows.drop("_row")
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.split(F.trim(text_of(df, c)), " ").alias("terms")) for c in df.columns])
-    terms = rows.select("_row", F.explode(fields).alias("f")).select("_row", "f.field", F.explode("f.terms").alias("term")).filter("term <> ''")
-    # Terms of a row are counted where the row is read: a very common word needs no group of its own.
-    counted = terms.groupBy("_row", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Terms are counted in their row's task, as runs of the sorted words: nothing is shuffled.  Each step is a
+    # generator, which the optimiser doesn't copy into the uses of what it gives.
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.sort_array(F.split(F.trim(text_of(df, c)), " ")).alias("terms")) for c in df.columns])
+    words = rows.select("_row", F.explode(fields).alias("f")).select("_row", F.col("f.field").alias("field"), F.col("f.terms").alias("_terms"))
+    term = lambda i: F.get("_terms", i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_terms") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    runs = words.select("_row", "field", "_terms", F.explode(F.array(starts)).alias("_starts"))
+    run = lambda i, k: F.struct(term(i).alias("term"), (F.coalesce(F.get("_starts", k + 1), F.size("_terms")) - i).cast("long").alias("tf"))
+    counted = runs.select("_row", "field", F.explode(F.transform("_starts", run)).alias("p")).select("_row", "field", "p.term", "p.tf").filter("term <> ''")
     counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     rows.select("_row", length_of(df).alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
 

@@ -95,6 +95,20 @@ def test_search_splits_a_text_once(spark):
     assert [r["id"] for r in search(docs, '+die -größe "the the die"').collect()] == [1]
 
 
+def test_postings_are_counted_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from quarry.operators.search import write_segment
+
+    plans = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **b))[1])
+    write_segment(spark.createDataFrame([(1, "b a, B a b", "x"), (2, None, ""), (3, "a", "b b")], "_row long, text string, note string"), f"{tmp_path}/s")
+    assert plans and not [p for p in plans if "Exchange" in p]
+    got = spark.read.parquet(f"{tmp_path}/s/postings").select("_row", "field", "term", "tf").collect()
+    assert sorted(map(tuple, got)) == [(1, "note", "x", 1), (1, "text", "a", 2), (1, "text", "b", 3), (3, "note", "b", 2), (3, "text", "a", 1)]
+
+
 def test_search_index_is_the_scan(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     index = SearchIndex.build(docs, f"file://{tmp_path}/index")
